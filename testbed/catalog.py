@@ -232,7 +232,7 @@ def boxplot_subperiod(spark, sf):
 
 
 def boxplot_outliers(spark, sf):
-    return rounded(profile.boxplot_outliers(v.observations(spark, sf), ["scenario"], "gpp"))
+    return rounded(profile.boxplot_outliers(v.table(spark, sf, "events"), ["event_type"], "value"))
 
 
 def hexbin(spark, sf):
