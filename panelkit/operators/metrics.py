@@ -267,8 +267,8 @@ def cohort(
     """
     codes = sorted(vegetation)
     kept = metrics.where(
-        (nan_to_null(F.col("impact")) > min_impact)
-        & (F.col("impact") > min_impact)
+        (F.col("impact") > min_impact)
+        & ~F.isnan("impact")
         & (F.col("veg_type") >= codes[0])
         & (F.col("veg_type") <= codes[-1])
         & (F.col("soil_type") == soil)

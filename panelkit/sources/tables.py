@@ -93,6 +93,12 @@ def write_by_scenario(df: DataFrame, path: str, mode: str = "errorifexists") ->
     df.hint("rebalance", "scenario").write.mode(mode).partitionBy("scenario").parquet(path)
 
 
+def store(df: DataFrame, path: str) -> DataFrame:
+    """Write a table and read it back, so that later results start from the files."""
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def class_table(spark: SparkSession, years: dict[str, int] | None = None) -> DataFrame:
     """Chosen year of each class as a table."""
     chosen = CLASS_YEARS if years is None else years
