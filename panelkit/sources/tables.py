@@ -43,7 +43,8 @@ def read_schedule(
         schema = "scen STRING, " + ", ".join(f"{n} INT" for n in names)
         return spark.read.csv(path, header=False, schema=schema)
     text = spark.read.text(path, wholetext=True)
-    lines = text.select(F.posexplode(F.split(F.trim("value"), r"\s*\n\s*")).alias("_row", "_line"))
+    lines = text.select(F.posexplode(F.split("value", r"\s*\n\s*")).alias("_row", "_line"))
+    lines = lines.where(F.col("_line") != "")  # after the last line break
     scen = F.concat(F.lit("scen_"), F.lpad((F.col("_row") + 1).cast("string"), 2, "0"))
     fields = F.split("_line", r"\s*,\s*")
     return lines.select(
