@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+LARGEST = 1.7976931348623157e308
+
 
 def ratio(num: Column, den: Column, on_zero: str = "null") -> Column:
     """``num / den`` without the ANSI division error.
@@ -41,23 +43,17 @@ def sort_key(v: Column) -> Column:
     shift by ``s`` groups the values of one bucket and a bucket holds at most ``2**s`` distinct
     doubles (twice that around zero). That bound is what lets ranks be found without sorting.
     """
-    size = F.abs(v)
-    guess = F.greatest(F.floor(F.log2(size)), F.lit(-1022))
+    # No conditional branches: generated code then computes the logarithm and the power once per row.
+    size = F.least(F.abs(v), F.lit(LARGEST))
+    guess = F.greatest(F.floor(F.log2(size)), F.lit(-1022))  # the logarithm of 0 is NULL and skipped
     scaled = size / F.pow(F.lit(2.0), guess)
     # the logarithm may be one off next to a power of two; the scaled mantissa tells which way
-    exponent = (
-        F.when(scaled >= 2, guess + 1)
-        .when((scaled < 1) & (guess > -1022), guess - 1)
-        .otherwise(guess)
-    )
-    mantissa = size / F.pow(F.lit(2.0), exponent)
-    bits = (exponent + 1022) * F.lit(1 << 52) + (mantissa * F.lit(float(1 << 52))).cast("bigint")
-    magnitude = (
-        F.when(size == 0, F.lit(0).cast("bigint"))
-        .when(size == float("inf"), F.lit(2047 << 52))
-        .otherwise(bits)
-    )
-    return F.when(v < 0, -magnitude).otherwise(magnitude)
+    up = (scaled >= 2).cast("int")
+    down = ((scaled < 1) & (guess > -1022)).cast("int")
+    mantissa = scaled * (1 - 0.5 * up) * (1 + down)
+    infinite = (F.abs(v) > LARGEST).cast("int")
+    bits = (guess + up - down + 1022) * F.lit(1 << 52) + (mantissa * float(1 << 52)).cast("bigint") + infinite
+    return bits * F.signum(v).cast("bigint")
 
 
 def search_sorted(df, value: str, points: list[float], out: str):

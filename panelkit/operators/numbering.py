@@ -8,6 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def block_counts(df: DataFrame, block: Column, by: Sequence[str] = ()) -> DataFrame:
+    """Rows per block of each group: ``by, _block, _n``."""
+    blocked = df.withColumn("_block", block)
+    return blocked.groupBy(*by, "_block").agg(F.count(F.lit(1)).alias("_n"))
+
+
 def number_rows(
     df: DataFrame, block: Column, order: Sequence[str], out: str, by: Sequence[str] = ()
 ) -> DataFrame:
@@ -17,13 +23,13 @@ def number_rows(
     inside their block, and the block starts come from running totals of the block counts, so only the
     table of blocks is ever ordered as a whole and a hot group spreads over all its blocks.
     """
-    blocked = df.withColumn("_block", block)
     keys = [*by, "_block"]
-    counts = blocked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    starts = block_counts(df, block, by).select(
+        *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
+    )
     inside = Window.partitionBy(*keys).orderBy(*order)
-    ranked = blocked.withColumn("_rank", F.row_number().over(inside) - 1)
+    ranked = df.withColumn("_block", block).withColumn("_rank", F.row_number().over(inside) - 1)
     return (
         ranked.join(starts, keys)
         .withColumn(out, (F.col("_start") + F.col("_rank")).cast("bigint"))

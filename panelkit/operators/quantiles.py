@@ -118,16 +118,38 @@ def exact_quantiles(
     ]
     fracs = [F.max(F.when(F.col("prob") == i, F.col("frac"))).alias(f"_f{i}") for i in range(len(probs))]
     per_group = found.groupBy(*by, "_n").agg(*ends, *fracs)
-    # equal ends are returned as they are: infinity times a zero weight would give NaN
     values = [
-        F.when(F.col(f"_q{i}_0") == F.col(f"_q{i}_1"), F.col(f"_q{i}_0")).otherwise(
-            (1 - F.col(f"_f{i}")) * F.col(f"_q{i}_0") + F.col(f"_f{i}") * F.col(f"_q{i}_1")
-        )
-        for i in range(len(probs))
+        _between(F.col(f"_q{i}_0"), F.col(f"_q{i}_1"), F.col(f"_f{i}")) for i in range(len(probs))
     ]
     return per_group.select(*by, F.col("_n").alias("n"), F.array(*values).alias("quantiles"))
 
 
+def quantile_of(values: Column, p: float) -> Column:
+    """Type-7 quantile of an ascending array without NULLs; NULL if it is empty."""
+    pos = (F.size(values) - 1) * F.lit(float(p))
+    low, high = F.get(values, F.floor(pos).cast("int")), F.get(values, F.ceil(pos).cast("int"))
+    return _between(low, high, pos - F.floor(pos))
+
+
+def bounded_quantiles(
+    df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str]
+) -> DataFrame:
+    """Type-7 quantiles of groups whose size is bounded by a parameter, as the array ``quantiles``.
+
+    For replicate statistics, where a group holds one value per replicate or per drawn row. The values
+    of a group meet in one sorted array, and the map side already packs them, so the shuffle carries
+    bare numbers instead of rows with their keys. NULL values are left out.
+    """
+    packed = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("_a"))
+    found = [quantile_of(F.col("_a"), p) for p in probs]
+    return packed.select(*by, F.array(*found).alias("quantiles"))
+
+
+def _between(low: Column, high: Column, frac: Column) -> Column:
+    """Interpolation; equal ends stay as they are, as infinity times a zero weight would give NaN."""
+    return F.when(low == high, low).otherwise((1 - frac) * low + frac * high)
+
+
 def _largest(targets: DataFrame, local: list | None) -> int:
     if local is not None:
         return max((r["_cnt"] for r in local), default=0)

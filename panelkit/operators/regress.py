@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.functions.semantics import clamp_negative, nan_to_null, ratio
+from panelkit.operators.quantiles import bounded_quantiles, quantile_of
 
 # (dependent, independent); fixed values of the study
 PAIRS = (
@@ -73,6 +74,42 @@ def grouped_ols(pairs: DataFrame, by: Sequence[str] = MODEL_KEYS) -> DataFrame:
     )
 
 
+def fit_sample(
+    sample: DataFrame,
+    pairs: Sequence[tuple[str, str]] = PAIRS,
+    by: Sequence[str] = ("sample_id", STRATUM),
+) -> DataFrame:
+    """Coefficients of all formulas straight from the sampled rows.
+
+    Equals :func:`grouped_ols` over :func:`pair_long`, but aggregates each sampled row once for all
+    formulas instead of shuffling one row per formula. The line is put together from a covariance, a
+    variance and two means, which need half the buffers of slope and intercept. Groups without a
+    complete pair have no row.
+    """
+    aggs, models = [], []
+    for i, (dep, ind) in enumerate(pairs):
+        y, x = nan_to_null(F.col(dep)), nan_to_null(F.col(ind))
+        both = y.isNotNull() & x.isNotNull()
+        aggs += [
+            F.covar_pop(y, x).alias(f"_c{i}"),
+            F.var_pop(F.when(both, x)).alias(f"_v{i}"),
+            F.avg(F.when(both, y)).alias(f"_my{i}"),
+            F.avg(F.when(both, x)).alias(f"_mx{i}"),
+            F.count(F.when(both, 1)).alias(f"_n{i}"),
+        ]
+        slope = ratio(F.col(f"_c{i}"), F.col(f"_v{i}"))
+        models.append(
+            F.struct(
+                F.lit(formula(dep, ind)).alias("formula"),
+                (F.col(f"_my{i}") - slope * F.col(f"_mx{i}")).alias("intercept"),
+                slope.alias("slope"),
+                F.col(f"_n{i}").alias("n"),
+            )
+        )
+    fits = sample.groupBy(*by).agg(*aggs).select(*by, F.inline(F.array(*models)))
+    return fits.where(F.col("n") > 0).select("formula", *by, "intercept", "slope", "n")
+
+
 def augment(pairs: DataFrame, coefs: DataFrame, by: Sequence[str] = MODEL_KEYS) -> DataFrame:
     """Complete pairs with the fitted value and residual of their model."""
     rows = pairs.dropna("any", subset=["y", "x"])
@@ -111,17 +148,17 @@ def confidence_band(
     # a handful of (formula, stratum) pairs: spread the models before they multiply
     models = models.repartition(*by, replicate)
     grid = models.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    x = F.col("min") + (F.col("max") - F.col("min")) * F.col("point") / (points - 1)
-    grid = grid.withColumn("x", x).withColumn("fitted", F.col("intercept") + F.col("slope") * F.col("x"))
-    band = grid.groupBy(*by, "point").agg(
-        F.max("x").alias("x"), F.percentile("fitted", F.array(*[F.lit(p) for p in probs])).alias("_q")
-    )
+    at = F.col("min") + (F.col("max") - F.col("min")) * F.col("point") / (points - 1)
+    grid = grid.withColumn("fitted", F.col("intercept") + F.col("slope") * at)
+    # the range is constant per group, so it can travel with the grouping keys
+    band = bounded_quantiles(grid, "fitted", probs, [*by, "point", "min", "max"])
+    low, high = F.col("quantiles")[0], F.col("quantiles")[1]
     return band.select(
         *by,
         "point",
-        "x",
-        clamp_negative(F.col("_q")[0]).alias("low"),
-        clamp_negative(F.col("_q")[1]).alias("high"),
+        at.alias("x"),
+        clamp_negative(low).alias("low"),
+        clamp_negative(high).alias("high"),
     )
 
 
@@ -140,14 +177,27 @@ def coef_long(coefs: DataFrame, metrics: Mapping[str, str] = FORMULA_METRICS) ->
 
 
 def ratio_median(
-    pairs: DataFrame, metrics: Mapping[str, str] = FORMULA_METRICS, on_zero: str = "null"
+    sample: DataFrame,
+    metrics: Mapping[str, str] = FORMULA_METRICS,
+    pairs: Sequence[tuple[str, str]] = PAIRS,
+    on_zero: str = "null",
 ) -> DataFrame:
-    """Median of ``y / x`` per replicate and stratum; a group holds one sample, so its size is a parameter."""
-    rows = pairs.where(F.col("formula").isin(*metrics)).dropna("any", subset=["y", "x"])
-    medians = rows.groupBy(*MODEL_KEYS).agg(
-        F.median(ratio(F.col("y"), F.col("x"), on_zero)).alias("median")
-    )
-    label = F.lit(None).cast("string")
-    for text, metric in metrics.items():
-        label = F.when(F.col("formula") == text, metric).otherwise(label)
-    return medians.select("sample_id", STRATUM, "median", label.alias("metric"))
+    """Median of dependent over independent value per replicate and stratum, for complete pairs.
+
+    A group holds one sample, so its size is a parameter; all formulas share one pass over the rows.
+    """
+    shown = [(d, i) for d, i in pairs if formula(d, i) in metrics]
+    aggs, medians = [], []
+    for k, (dep, ind) in enumerate(shown):
+        quotient = ratio(nan_to_null(F.col(dep)), nan_to_null(F.col(ind)), on_zero)
+        aggs.append(F.sort_array(F.collect_list(quotient)).alias(f"_a{k}"))
+        medians.append(
+            F.struct(
+                F.lit(metrics[formula(dep, ind)]).alias("metric"),
+                F.size(f"_a{k}").alias("_size"),
+                quantile_of(F.col(f"_a{k}"), 0.5).alias("median"),
+            )
+        )
+    packed = sample.groupBy("sample_id", STRATUM).agg(*aggs)
+    rows = packed.select("sample_id", STRATUM, F.inline(F.array(*medians))).where(F.col("_size") > 0)
+    return rows.select("sample_id", STRATUM, "median", "metric")

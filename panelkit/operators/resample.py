@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkit.operators.numbering import number_rows
+from panelkit.operators.numbering import block_counts, number_rows
 from panelkit.operators.quantiles import _match
 from panelkit.session import settle
 
@@ -48,7 +48,9 @@ def resample(
     :func:`panelkit.operators.numbering.number_rows`).
     """
     numbered = number_rows(df, block, order, "_pos", [strata])
-    sizes = df.groupBy(strata).agg(F.count(F.lit(1)).alias("_size"))
+    # the same counts give the block starts; Spark reuses their shuffle
+    counts = block_counts(df, block, [strata])
+    sizes = counts.groupBy(strata).agg(F.sum("_n").alias("_size"))
     drawn = draw_positions(sizes, strata, n, reps, seed, method)
     return numbered.join(drawn, [strata, "_pos"]).drop("_pos")
 
@@ -60,27 +62,30 @@ def draw_positions(
 
     A small stratum is put in random order and the first ``n`` numbers are taken. From a large one,
     numbers are drawn with replacement and repeats are skipped, which is the same as drawing without
-    replacement; consecutive numbers at the end of the candidates make sure that ``n`` distinct ones
-    exist. A group never holds more than ``8 n`` candidates or the draws, so its size is a parameter.
+    replacement; should fewer than ``n`` distinct ones come up, consecutive numbers fill the rest. Each
+    replicate and stratum is one row with an array of at most ``8 n`` candidates, so its size is a
+    parameter, and nothing has to be sorted or shuffled to draw.
     """
-    draws = n + n // 4 + 64
     groups = sizes.withColumn("sample_id", F.explode(F.sequence(F.lit(1), F.lit(reps))))
     groups = groups.repartition(strata, "sample_id")
-    small = F.col("_size") <= ORDERED_STRATA * n
-    last = F.when(small, F.col("_size") - 1).otherwise(F.lit(draws + n - 1))
-    tried = groups.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-    bits = random_bits([F.lit(seed), F.col("sample_id"), F.col(strata), F.col("_j")], method)
-    pos = (
-        F.when(small, F.col("_j"))
-        .when(F.col("_j") < draws, F.pmod(bits, F.col("_size")))
-        .otherwise(F.col("_j") - draws)
+    size = F.col("_size")
+
+    def bits(j: Column) -> Column:
+        return random_bits([F.lit(seed), F.col("sample_id"), F.col(strata), j], method)
+
+    def numbers(stop: Column) -> Column:
+        return F.sequence(F.lit(0).cast("bigint"), stop.cast("bigint"))
+
+    shuffled = F.array_sort(
+        F.transform(numbers(size - 1), lambda j: F.struct(bits(j).alias("bits"), j.alias("pos")))
+    )["pos"]
+    tries = F.lit(n + n // 4 + 64)
+    drawn = F.array_distinct(F.transform(numbers(tries - 1), lambda j: F.pmod(bits(j), size)))
+    filled = F.when(F.size(drawn) >= n, drawn).otherwise(
+        F.array_distinct(F.concat(drawn, numbers(F.lit(n - 1))))
     )
-    tried = tried.withColumns({"_pos": pos, "_turn": F.when(small, bits).otherwise(F.col("_j"))})
-    fresh = Window.partitionBy(strata, "sample_id", "_pos").orderBy("_turn")
-    tried = tried.withColumn("_try", F.row_number().over(fresh)).where(F.col("_try") == 1)
-    turn = Window.partitionBy(strata, "sample_id").orderBy("_turn", "_pos")
-    taken = tried.withColumn("_take", F.row_number().over(turn)).where(F.col("_take") <= n)
-    return taken.select(strata, "sample_id", "_pos")
+    taken = F.when(size <= ORDERED_STRATA * n, shuffled).otherwise(filled)
+    return groups.select(strata, "sample_id", F.explode(F.slice(taken, 1, n)).alias("_pos"))
 
 
 def sample_per_group(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from panelkit.operators.numbering import number_rows
 
 CELL_KEYS = ("id", "x", "y")
+BLOCK_CELLS = 16_384
 
 
 def grid_explode(df: DataFrame, values: Sequence[str], nx: int, out: str = "pos") -> DataFrame:
@@ -62,9 +63,11 @@ def yearly_panel(
 def cell_id(cells: DataFrame, out: str = "id") -> DataFrame:
     """Number the cells 1, 2, ... in the order of x, then y. ``(x, y)`` must be unique.
 
-    Grid columns are the blocks of the numbering, so no task orders more than one column of cells.
+    Pieces of grid columns are the blocks of the numbering, so no task orders more than
+    ``BLOCK_CELLS`` cells at a time, however long a column is.
     """
-    numbered = number_rows(cells, F.col("x"), ["y"], out)
+    block = F.struct(F.col("x"), F.floor(F.col("y") / BLOCK_CELLS).alias("piece"))
+    numbered = number_rows(cells, block, ["x", "y"], out)
     return numbered.withColumn(out, F.col(out) + 1)
 
 

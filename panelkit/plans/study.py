@@ -129,8 +129,9 @@ def regressions(
     drawn = resample.resample(
         wide, "veg_type", n, reps, F.floor(F.col("id") / 64), ["id", "scenario"], seed
     )
-    pairs = _kept(regress.pair_long(drawn, complete=True), workdir, "pairs")
-    coefs = _kept(regress.grouped_ols(pairs), workdir, "coefs")
+    drawn = _kept(drawn, workdir, "sample")
+    coefs = _kept(regress.fit_sample(drawn), workdir, "coefs")
+    pairs = regress.pair_long(drawn, complete=True)
     residuals = regress.augment(pairs, coefs)
     shown = resample.sample_per_group(
         residuals,
@@ -139,7 +140,7 @@ def regressions(
         ["formula", "sample_id", "id", "scenario"],
         seed,
     )
-    coef_rows, ratios = regress.coef_long(coefs), regress.ratio_median(pairs)
+    coef_rows, ratios = regress.coef_long(coefs), regress.ratio_median(drawn)
     first = [regress.formula(*p) for p in regress.PAIRS[:2]]
     limit = F.lit(None).cast("double")
     for text, top in LINE_LIMITS.items():

@@ -264,7 +264,7 @@ def coef_density(spark, sf):
 
 
 def ratio_density(spark, sf):
-    rows = regress.ratio_median(v.pairs(spark, sf))
+    rows = regress.ratio_median(v.sample(spark, sf))
     found = profile.density_profile(rows, ["metric", "veg_type"], "median", points=64, panel=["metric"])
     return rounded(found, 6)
 
@@ -290,7 +290,7 @@ def resample_rows(spark, sf):
 def resample_panel(spark, sf):
     rows = v.panel(spark, sf)
     drawn = resample.resample(
-        rows, "scenario", 25, 8, block=F.col("x"), order=["x", "y", "year"], seed=v.SEED, method="md5"
+        rows, "scenario", 25, 8, block=F.col("y"), order=["y", "x", "year"], seed=v.SEED, method="md5"
     )
     return rounded(drawn)
 
@@ -313,7 +313,11 @@ def pair_rows(spark, sf):
 
 
 def ols_coefs(spark, sf):
-    return rounded(v.coefs(spark, sf).drop("r2"), 6)
+    return rounded(v.coefs(spark, sf), 6)
+
+
+def ols_pairs(spark, sf):
+    return rounded(regress.grouped_ols(v.pairs(spark, sf)).drop("r2"), 6)
 
 
 def ols_scenarios(spark, sf):
@@ -337,12 +341,13 @@ def coef_long(spark, sf):
 
 
 def confidence_band(spark, sf):
-    p = v.pairs(spark, sf)
-    return rounded(regress.confidence_band(regress.grouped_ols(p), regress.x_ranges(p)), 6)
+    drawn = v.sample(spark, sf)
+    ranges = regress.x_ranges(regress.pair_long(drawn))
+    return rounded(regress.confidence_band(regress.fit_sample(drawn), ranges), 6)
 
 
 def ratio_median(spark, sf):
-    return rounded(regress.ratio_median(v.pairs(spark, sf)))
+    return rounded(regress.ratio_median(v.sample(spark, sf)))
 
 
 QUERIES: dict[str, Query] = {
@@ -401,6 +406,7 @@ QUERIES: dict[str, Query] = {
     "residual_sample": residual_sample,
     "pair_rows": pair_rows,
     "ols_coefs": ols_coefs,
+    "ols_pairs": ols_pairs,
     "ols_scenarios": ols_scenarios,
     "residuals": residuals,
     "mae": mae,

@@ -618,7 +618,7 @@ ORACLES: dict[str, str] = {
     ),
     "resample": sql("SELECT sample_id, veg_type, id, scenario FROM sampled", "sampled"),
     "resample_panel": sql(
-        f""", n AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY x, y, year) - 1 AS pos,
+        f""", n AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY y, x, year) - 1 AS pos,
                           count(*) OVER (PARTITION BY scenario) AS size FROM panel),
              z AS (SELECT DISTINCT scenario, size FROM n),
              j AS (SELECT z.*, CAST(k AS INTEGER) AS sample_id, j,
@@ -653,6 +653,9 @@ ORACLES: dict[str, str] = {
     "ols_coefs": sql(
         f"SELECT formula, sample_id, veg_type, {r('intercept slope', 6)}, n FROM coefs", "coefs"
     ),
+    "ols_pairs": sql(
+        f"SELECT formula, sample_id, veg_type, {r('intercept slope', 6)}, n FROM coefs", "coefs"
+    ),
     "ols_scenarios": sql(
         """SELECT scenario, round(regr_intercept(gpp, precip), 6) AS intercept,
                   round(regr_slope(gpp, precip), 6) AS slope, CAST(regr_count(gpp, precip) AS BIGINT) AS n,

@@ -209,9 +209,9 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def coefs(spark: SparkSession, sf: str) -> DataFrame:
-    return regress.grouped_ols(pairs(spark, sf))
+    return regress.fit_sample(sample(spark, sf))
 
 
 def residuals(spark: SparkSession, sf: str) -> DataFrame:
-    p = pairs(spark, sf)
-    return regress.augment(p, regress.grouped_ols(p))
+    drawn = sample(spark, sf)
+    return regress.augment(regress.pair_long(drawn, complete=True), regress.fit_sample(drawn))

@@ -89,6 +89,33 @@ def test_range_uses_complete_pairs(spark):
     assert (row["min"], row["max"]) == (2.0, 3.0)
 
 
+def sampled(spark, rows):
+    """Sampled rows with the last pair of variables filled and the others missing."""
+    names = sorted({c for p in regress.PAIRS for c in p})
+    df = spark.createDataFrame(rows, "sample_id int, veg_type string, gpp_stability double, precip_stability double")
+    missing = {c: F.lit(None).cast("double") for c in names if c not in df.columns}
+    return df.withColumns(missing).withColumns({"id": F.lit(1), "scenario": F.lit("s")})
+
+
+def test_fit_sample_equals_regressions_over_pairs(spark):
+    _, rows = noisy(spark)
+    df = sampled(spark, rows + [(1, "Savannas", 0.4, float("nan")), (9, "Savannas", None, 0.3)])
+    fitted = regress.fit_sample(df)
+    assert fitted.count() == 6
+    expected = regress.grouped_ols(regress.pair_long(df))
+    for got, want in zip(
+        fitted.orderBy("sample_id", "veg_type").collect(),
+        expected.orderBy("sample_id", "veg_type").collect(),
+        strict=True,
+    ):
+        assert got["formula"] == want["formula"] and got["n"] == want["n"]
+        assert (got["slope"], got["intercept"]) == pytest.approx((want["slope"], want["intercept"]))
+    constant = regress.fit_sample(sampled(spark, [(1, "a", 1.0, 0.1), (1, "a", 2.0, 0.1)])).first()
+    assert constant["slope"] is None and constant["intercept"] is None and constant["n"] == 2
+    plan = fitted._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "SortAggregate" not in plan
+
+
 def test_coefficient_rows_and_ratios(spark):
     df, rows = noisy(spark)
     other = df.withColumn("formula", F.lit(regress.formula(*regress.PAIRS[0])))
@@ -96,9 +123,12 @@ def test_coefficient_rows_and_ratios(spark):
     long = regress.coef_long(regress.grouped_ols(both)).collect()
     assert len(long) == 12 and {r["metric"] for r in long} == {"Stability"}
     assert {r["term"] for r in long} == {"Intercept", "Slope"}
-    med = {(r["sample_id"], r["veg_type"]): r["median"] for r in regress.ratio_median(both).collect()}
+    found = regress.ratio_median(sampled(spark, rows + [(1, "Savannas", None, 0.5)])).collect()
+    assert {r["metric"] for r in found} == {"Stability"}
+    med = {(r["sample_id"], r["veg_type"]): r["median"] for r in found}
+    assert len(med) == 6
     for (s, v), m in med.items():
         assert m == pytest.approx(np.median([q[2] / q[3] for q in rows if q[:2] == (s, v)]))
-    zero = pairs(spark, [(1, "a", 1.0, 0.0), (1, "a", 1.0, 2.0)])
+    zero = sampled(spark, [(1, "a", 1.0, 0.0), (1, "a", 1.0, 2.0)])
     assert regress.ratio_median(zero).first()["median"] == 0.5
     assert regress.ratio_median(zero, on_zero="ieee").first()["median"] == float("inf")
