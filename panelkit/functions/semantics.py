@@ -45,7 +45,8 @@ def sort_key(v: Column) -> Column:
     """
     # No conditional branches: generated code then computes the logarithm and the power once per row.
     size = F.least(F.abs(v), F.lit(LARGEST))
-    guess = F.greatest(F.floor(F.log2(size)), F.lit(-1022))  # the logarithm of 0 is NULL and skipped
+    # the logarithm of 0 is NULL and skipped; that of the largest double rounds up
+    guess = F.greatest(F.least(F.floor(F.log2(size)), F.lit(1023)), F.lit(-1022))
     scaled = size / F.pow(F.lit(2.0), guess)
     # the logarithm may be one off next to a power of two; the scaled mantissa tells which way
     up = (scaled >= 2).cast("int")

@@ -38,6 +38,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Compute a table once that several passes or results read, and cut its lineage.
+
+    The copy lies in the shared checkpoint folder, so losing executors does not lose it.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def settle(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, list | None]:
     """Compute ``df`` once and return it in the form its size allows.
 
@@ -45,10 +54,8 @@ def settle(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, list |
     themselves. A larger table is checkpointed to the shared folder and comes back with ``None``;
     joins with it then shuffle, and adaptive execution splits skewed partitions.
     """
-    spark = df.sparkSession
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows <= max_rows:
-        local = spark.createDataFrame(head, schema=df.schema)
-        return F.broadcast(local), head.to_pylist()
-    ensure_checkpoint_dir(spark)
-    return df.checkpoint(), None
+    # take() stops as soon as it has seen enough rows, so a large table is not moved to find its size
+    head = df.take(max_rows + 1)
+    if len(head) <= max_rows:
+        return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema)), head
+    return keep(df), None

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelkit.functions.labels import WIDE_METRICS
 from panelkit.operators import classify, design, metrics, profile, quantiles, regress, resample
 from panelkit.operators import reshape, rollup
+from panelkit.session import keep
 from testbed import views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,7 +118,7 @@ def design_panel(spark, sf):
 
 def schedule_long(spark, sf):
     # a year chosen for two classes keeps the first of them
-    years = v.chosen_years(spark, sf).groupBy("Year").agg(F.min("Class").alias("Class"))
+    years = v.chosen_years(v.classified(spark, sf)).groupBy("Year").agg(F.min("Class").alias("Class"))
     return design.schedule_long(v.schedule(spark, sf), years, [f"X{i}" for i in range(1, 8)])
 
 
@@ -151,7 +152,7 @@ def class_summary(spark, sf):
 
 
 def class_distance(spark, sf):
-    return rounded(v.distances(spark, sf))
+    return rounded(v.distances(v.classified(spark, sf)))
 
 
 def class_targets(spark, sf):
@@ -159,8 +160,9 @@ def class_targets(spark, sf):
 
 
 def ecdf_rank(spark, sf):
-    queries = v.series(spark, sf).where(F.col("Source") == v.REFERENCE)
-    return rounded(classify.ecdf_rank(queries, "Precip", v.station_sample(spark, sf)))
+    rows = v.classified(spark, sf)
+    queries = rows.where(F.col("Source") == v.REFERENCE).drop("Condition")
+    return rounded(classify.ecdf_rank(queries, "Precip", classify.station_sample(rows, v.stations())))
 
 
 def year_report(spark, sf):
@@ -168,7 +170,7 @@ def year_report(spark, sf):
     summary = classify.class_summary(rows, v.stations())
     return rounded(
         classify.year_report(
-            v.chosen_years(spark, sf),
+            v.chosen_years(rows),
             classify.class_distance(rows, summary, v.REFERENCE),
             classify.class_targets(summary),
             classify.station_sample(rows, v.stations()),
@@ -177,7 +179,8 @@ def year_report(spark, sf):
 
 
 def year_classes(spark, sf):
-    return rounded(classify.year_classes(v.chosen_years(spark, sf), v.classified(spark, sf), v.REFERENCE))
+    rows = v.classified(spark, sf)
+    return rounded(classify.year_classes(v.chosen_years(rows), rows, v.REFERENCE))
 
 
 def subperiods(spark, sf):
@@ -185,13 +188,14 @@ def subperiods(spark, sf):
 
 
 def highlight(spark, sf):
-    parts = classify.enrich_subperiods(v.subseries(spark, sf), v.classified(spark, sf))
-    return rounded(classify.highlight_series(parts, v.chosen_years(spark, sf), v.REFERENCE))
+    rows = v.classified(spark, sf)
+    parts = classify.enrich_subperiods(v.subseries(spark, sf), rows)
+    return rounded(classify.highlight_series(parts, v.chosen_years(rows), v.REFERENCE))
 
 
 def station_years(spark, sf):
     rows = v.classified(spark, sf)
-    years = classify.year_classes(v.chosen_years(spark, sf), rows, v.REFERENCE)
+    years = classify.year_classes(v.chosen_years(rows), rows, v.REFERENCE)
     return rounded(classify.station_year_classes(rows, years, v.stations()))
 
 
@@ -213,21 +217,21 @@ def metrics_wide(spark, sf):
 
 
 def summary_stats(spark, sf):
-    return rounded(profile.summary_stats(v.wide(spark, sf)))
+    return rounded(profile.summary_stats(keep(v.wide(spark, sf))))
 
 
 def summary_transposed(spark, sf):
-    return rounded(profile.summary_transposed(v.wide(spark, sf)))
+    return rounded(profile.summary_transposed(keep(v.wide(spark, sf))))
 
 
 def boxplot_metric(spark, sf):
-    rows = profile.metric_boxplot_rows(v.wide(spark, sf))
+    rows = profile.metric_boxplot_rows(keep(v.wide(spark, sf)))
     return rounded(profile.boxplot_stats(rows, ["variable", "veg_type"], "value"))
 
 
 def boxplot_subperiod(spark, sf):
     parts = classify.enrich_subperiods(v.subseries(spark, sf), v.classified(spark, sf))
-    rows = parts.where(v.stations()).dropna("any")
+    rows = keep(parts.where(v.stations()).dropna("any"))
     return rounded(profile.boxplot_stats(rows, ["Month", "Condition"], "Precip"))
 
 
@@ -236,7 +240,7 @@ def boxplot_outliers(spark, sf):
 
 
 def hexbin(spark, sf):
-    return rounded(profile.hexbin(v.wide(spark, sf), "gpp_impact", "gpp_recovery_base"), 6)
+    return rounded(profile.hexbin(keep(v.wide(spark, sf)), "gpp_impact", "gpp_recovery_base"), 6)
 
 
 def hexbin_limits(spark, sf):
@@ -252,7 +256,7 @@ def histogram(spark, sf):
 
 
 def histogram_residuals(spark, sf):
-    return rounded(profile.histogram(v.residuals(spark, sf), "resid", by=["formula"]), 6)
+    return rounded(profile.histogram(keep(v.residuals(spark, sf)), "resid", by=["formula"]), 6)
 
 
 def coef_density(spark, sf):
@@ -303,7 +307,7 @@ def sample_rows(spark, sf):
 def residual_sample(spark, sf):
     key = ["formula", "sample_id", "id", "scenario"]
     drawn = resample.sample_per_group(
-        v.residuals(spark, sf), ["formula", "veg_type"], 30, key, v.SEED, "md5"
+        keep(v.residuals(spark, sf)), ["formula", "veg_type"], 30, key, v.SEED, "md5"
     )
     return rounded(drawn, 6)
 
@@ -341,7 +345,7 @@ def coef_long(spark, sf):
 
 
 def confidence_band(spark, sf):
-    drawn = v.sample(spark, sf)
+    drawn = keep(v.sample(spark, sf))
     ranges = regress.x_ranges(regress.pair_long(drawn))
     return rounded(regress.confidence_band(regress.fit_sample(drawn), ranges), 6)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelkit.functions.labels import CLASS_METRICS, relabel
 from panelkit.operators import classify, design, metrics, regress, resample, reshape
 from panelkit.operators.rollup import enrich_panel
+from panelkit.session import keep
 
 START, BASELINE_LEN, RECOVERY_LEN, BASE_YEAR, MAX_DURATION = 1995, 2, 2, 1996, 3
 SOURCES = ("view", "click", "purchase", "signup", "error")
@@ -83,7 +84,7 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def enriched(spark: SparkSession, sf: str) -> DataFrame:
-    return enrich_panel(panel(spark, sf), F.broadcast(scenarios(spark, sf)), cells(spark, sf))
+    return enrich_panel(panel(spark, sf), scenarios(spark, sf), cells(spark, sf))
 
 
 def labelled(spark: SparkSession, sf: str, full: bool = False) -> DataFrame:
@@ -91,7 +92,7 @@ def labelled(spark: SparkSession, sf: str, full: bool = False) -> DataFrame:
         rows = enriched(spark, sf)
     else:
         factors = scenarios(spark, sf).select("scenario", "drought_duration")
-        rows = panel(spark, sf).join(F.broadcast(factors), "scenario", "left")
+        rows = panel(spark, sf).join(factors, "scenario", "left")
     return design.label_periods(
         rows, START, BASELINE_LEN, RECOVERY_LEN, control=None, year=F.col("year")
     )
@@ -153,17 +154,17 @@ def subseries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def classified(spark: SparkSession, sf: str) -> DataFrame:
-    return classify.classify_by_quantiles(series(spark, sf), stations())
+    """Computed once: most results read it several times."""
+    return classify.classify_by_quantiles(keep(series(spark, sf)), stations())
 
 
-def distances(spark: SparkSession, sf: str) -> DataFrame:
-    rows = classified(spark, sf)
+def distances(rows: DataFrame) -> DataFrame:
     return classify.class_distance(rows, classify.class_summary(rows, stations()), REFERENCE)
 
 
-def chosen_years(spark: SparkSession, sf: str) -> DataFrame:
+def chosen_years(rows: DataFrame) -> DataFrame:
     """Stand-in for the hand-picked years: the unit closest to each station statistic."""
-    named = distances(spark, sf).withColumnsRenamed(
+    named = distances(rows).withColumnsRenamed(
         {"Min_Dif": "Min", "Mean_Dif": "Mean", "Max_Dif": "Max"}
     )
     long = reshape.to_long(named, ["Year", "Condition"], ["Min", "Mean", "Max"], "Metric", "dif")
@@ -176,10 +177,6 @@ def chosen_years(spark: SparkSession, sf: str) -> DataFrame:
     return best.select(relabel(F.concat_ws("|", "Condition", "Metric"), names).alias("Class"), "Year")
 
 
-def station_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return classify.station_sample(classified(spark, sf), stations())
-
-
 def schedule(spark: SparkSession, sf: str) -> DataFrame:
     """Schedule-shaped table: one row per scenario, seven slots with a unit each."""
     e = table(spark, sf, "events").select(
@@ -213,5 +210,5 @@ def coefs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def residuals(spark: SparkSession, sf: str) -> DataFrame:
-    drawn = sample(spark, sf)
+    drawn = keep(sample(spark, sf))
     return regress.augment(regress.pair_long(drawn, complete=True), regress.fit_sample(drawn))

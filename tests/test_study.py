@@ -91,7 +91,7 @@ def test_classes(spark, small):
     out = study.precipitation_classes(
         v.annual_wide(spark, small),
         v.monthly_wide(spark, small),
-        v.chosen_years(spark, small),
+        v.chosen_years(v.classified(spark, small)),
         v.SOURCES,
         v.stations(),
         v.REFERENCE,
