@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkit.functions.semantics import nan_to_null, sort_key
+from panelkit.functions.semantics import nan_to_null, search_sorted, sort_key
 from panelkit.session import settle
 
 # Right shifts of the sort key: 10 mantissa bits first, then 11 more each time. A bucket of the last
@@ -198,8 +198,6 @@ MAX_POINTS = 4096
 
 
 def _shares_by_interval(sample: DataFrame, points: list[float]) -> DataFrame:
-    from panelkit.functions.semantics import search_sorted
-
     spark = sample.sparkSession
     counts = search_sorted(sample, "_v", points, "_i").groupBy("_i").agg(F.count(F.lit(1)).alias("_c"))
     grid = spark.createDataFrame(list(enumerate(points)), "_i int, _q double")

@@ -149,6 +149,32 @@ def _random(*parts: str) -> str:
     return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15) AS BIGINT)"
 
 
+def _resample(src: str, strata: str, order: str, n: int, reps: int) -> str:
+    """Table expressions ``numbered`` (rows with positions) and ``taken`` (positions in drawing order).
+
+    Strata of up to 8 n rows are put in random order; larger ones are drawn from with replacement,
+    repeats skipped.
+    """
+    draws = n + n // 4 + 64
+    top = max(8 * n, draws + n) - 1
+    return f"""numbered AS (
+              SELECT *, row_number() OVER (PARTITION BY {strata} ORDER BY {order}) - 1 AS pos,
+                     count(*) OVER (PARTITION BY {strata}) AS size FROM {src}),
+            tried AS (
+              SELECT z.*, CAST(k AS INTEGER) AS sample_id, j, {_random('2021', 'k', strata, 'j')} AS bits
+              FROM (SELECT DISTINCT {strata}, size FROM numbered) z
+              CROSS JOIN generate_series(1, {reps}) a(k) CROSS JOIN generate_series(0, {top}) b(j)
+              WHERE j < CASE WHEN size <= {8 * n} THEN size ELSE {draws + n} END),
+            turns AS (
+              SELECT {strata}, sample_id,
+                     CASE WHEN size <= {8 * n} THEN j WHEN j < {draws} THEN bits % size
+                          ELSE j - {draws} END AS pos,
+                     CASE WHEN size <= {8 * n} THEN bits ELSE j END AS turn FROM tried),
+            taken AS (
+              SELECT *, row_number() OVER (PARTITION BY {strata}, sample_id ORDER BY turn, pos) AS r
+              FROM (SELECT {strata}, sample_id, pos, min(turn) AS turn FROM turns GROUP BY ALL))"""
+
+
 PARTS |= {
     "found": ((*KM, "k_first"), _metrics("k_first")),
     "found_thr": ((*KM, "k_thr"), _metrics("k_thr")),
@@ -246,14 +272,9 @@ PARTS |= {
     ),
     "sampled": (
         ("wide",),
-        f"""SELECT * EXCLUDE (pos, r) FROM (
-              SELECT n.*, k.sample_id, row_number() OVER (
-                       PARTITION BY k.sample_id, veg_type
-                       ORDER BY {_random('2021', 'k.sample_id', 'veg_type', 'pos')}, pos) AS r
-              FROM (SELECT *, row_number() OVER (PARTITION BY veg_type ORDER BY id, scenario) - 1 AS pos
-                    FROM wide) n
-              CROSS JOIN (SELECT CAST(unnest(generate_series(1, 20)) AS INTEGER) AS sample_id) k)
-            WHERE r <= 10""",
+        f"""WITH {_resample('wide', 'veg_type', 'id, scenario', 10, 20)}
+            SELECT numbered.* EXCLUDE (pos, size), taken.sample_id
+            FROM numbered JOIN taken USING (veg_type, pos) WHERE r <= 10""",
     ),
     "pairs": (("sampled",), _pair_union),
     "cpairs": (("pairs",), "SELECT * FROM pairs WHERE y IS NOT NULL AND x IS NOT NULL"),
@@ -618,19 +639,9 @@ ORACLES: dict[str, str] = {
     ),
     "resample": sql("SELECT sample_id, veg_type, id, scenario FROM sampled", "sampled"),
     "resample_panel": sql(
-        f""", n AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY y, x, year) - 1 AS pos,
-                          count(*) OVER (PARTITION BY scenario) AS size FROM panel),
-             z AS (SELECT DISTINCT scenario, size FROM n),
-             j AS (SELECT z.*, CAST(k AS INTEGER) AS sample_id, j,
-                          {_random('2021', 'k', 'scenario', 'j')} AS bits
-                   FROM z CROSS JOIN generate_series(1, 8) a(k) CROSS JOIN generate_series(0, 700) b(j)
-                   WHERE j < CASE WHEN size <= 200 THEN size ELSE 120 END),
-             d AS (SELECT scenario, sample_id, CASE WHEN size <= 200 THEN j WHEN j < 95 THEN bits % size
-                          ELSE j - 95 END AS pos, CASE WHEN size <= 200 THEN bits ELSE j END AS turn FROM j),
-             u AS (SELECT scenario, sample_id, pos, min(turn) AS turn FROM d GROUP BY ALL),
-             t AS (SELECT *, row_number() OVER (PARTITION BY scenario, sample_id ORDER BY turn, pos) AS r FROM u)
+        f""", {_resample('panel', 'scenario', 'y, x, year', 25, 8)}
         SELECT scenario, x, y, year, round(precip, 8) AS precip, round(gpp, 8) AS gpp, sample_id
-        FROM n JOIN t USING (scenario, pos) WHERE r <= 25""",
+        FROM numbered JOIN taken USING (scenario, pos) WHERE r <= 25""",
         "panel",
     ),
     "sample_rows": sql(
