@@ -387,7 +387,8 @@ def _density(src: str, by: str, panel: str, value: str) -> str:
              g AS (SELECT {by}, count(*) AS n, stddev_samp(v) AS sd, quantile_cont(v, 0.25) AS q1,
                           quantile_cont(v, 0.75) AS q3, quantile_cont(v, 0.025) AS low,
                           quantile_cont(v, 0.975) AS high, min(v) AS mn, max(v) AS mx FROM v GROUP BY ALL),
-             p AS (SELECT *, avg(0.9 * least(sd, (q3 - q1) / CAST(1.34 AS DOUBLE)) * pow(n, CAST(-0.2 AS DOUBLE)))
+             p AS (SELECT *, avg(0.9 * coalesce(nullif(least(sd, (q3 - q1) / CAST(1.34 AS DOUBLE)), 0), nullif(sd, 0),
+                                                   nullif(abs(mn), 0), 1) * pow(n, CAST(-0.2 AS DOUBLE)))
                                OVER (PARTITION BY {panel}) AS bw,
                           min(mn) OVER (PARTITION BY {panel}) AS lo,
                           max(mx) OVER (PARTITION BY {panel}) AS hi FROM g),
