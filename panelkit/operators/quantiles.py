@@ -93,16 +93,16 @@ def exact_quantiles(
     hist = rows.groupBy(*by, bucket(SHIFTS[0]).alias("_b")).agg(F.count(F.lit(1)).alias("_cnt"))
     total = F.sum("_cnt").over(Window.partitionBy(*by))
     hist = hist.withColumn("_n", total).withColumn("_want", _wanted(probs))
-    targets, local = settle(_locate(hist, by, "_b"))
+    targets, _ = settle(_locate(hist, by, "_b"))
 
     depth = 0
-    while depth + 1 < len(SHIFTS) and _largest(targets, local) > ORDER_ROWS:
+    while depth + 1 < len(SHIFTS) and _largest(targets) > ORDER_ROWS:
         shift, finer = SHIFTS[depth], SHIFTS[depth + 1]
         hits = _match(rows.withColumn("_b", bucket(shift)), targets, [*by, "_b"], "left_semi")
         hist = hits.groupBy(*by, "_b", bucket(finer).alias("_f")).agg(F.count(F.lit(1)).alias("_cnt"))
         hist = _match(hist, targets.drop("_cnt"), [*by, "_b"], "inner")
         found = _locate(hist, [*by, "_b"], "_f").drop("_b").withColumnRenamed("_f", "_b")
-        targets, local = settle(found.select(*by, "_b", "_cnt", "_n", "_want"))
+        targets, _ = settle(found.select(*by, "_b", "_cnt", "_n", "_want"))
         depth += 1
 
     hits = _match(
@@ -150,10 +150,8 @@ def _between(low: Column, high: Column, frac: Column) -> Column:
     return F.when(low == high, low).otherwise((1 - frac) * low + frac * high)
 
 
-def _largest(targets: DataFrame, local: list | None) -> int:
-    if local is not None:
-        return max((r["_cnt"] for r in local), default=0)
-    return targets.agg(F.max("_cnt")).first()[0]
+def _largest(targets: DataFrame) -> int:
+    return targets.agg(F.max("_cnt")).first()[0] or 0
 
 
 def pooled_quantiles(

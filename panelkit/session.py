@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest table that may pass through the driver to be broadcast.
+# Largest table that is marked for broadcast.
 SMALL_ROWS = 50_000
 
 
@@ -25,37 +26,60 @@ def local_session(cores: str = "8", memory: str = "8g") -> SparkSession:
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; only a local session may fall back to its own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
+def work_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names; only a local session may fall back to one of its own."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not sc.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="panelkit-checkpoint-")
-    sc.setCheckpointDir(shared)
+        shared = tempfile.mkdtemp(prefix="panelkit-work-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared
+
+
+def new_path(spark: SparkSession, kind: str = "table") -> str:
+    """A fresh path in the work folder."""
+    return f"{work_dir(spark).rstrip('/')}/panelkit-{kind}-{uuid.uuid4().hex}"
+
+
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Have an existing path removed when the session's JVM ends."""
+    _hadoop(spark, path, lambda fs, p: fs.deleteOnExit(p))
 
 
 def keep(df: DataFrame) -> DataFrame:
     """Compute a table once that several passes or results read, and cut its lineage.
 
-    The copy lies in the shared checkpoint folder, so losing executors does not lose it.
+    The copy is Parquet in the shared work folder: losing executors does not lose it, and later passes
+    read only the columns they need. :func:`discard` removes it; otherwise it goes with the session.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = new_path(spark)
+    df.write.parquet(path)
+    remove_at_end(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*kept: DataFrame) -> None:
+    """Remove the files of tables made by :func:`keep`, once nothing reads them any more."""
+    for df in kept:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/panelkit-" in path:
+                _hadoop(df.sparkSession, path, lambda fs, p: fs.delete(p, True))
+
+
+def _hadoop(spark: SparkSession, path: str, act) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    act(p.getFileSystem(spark._jsc.hadoopConfiguration()), p)
 
 
-def settle(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, list | None]:
-    """Compute ``df`` once and return it in the form its size allows.
+def settle(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, int]:
+    """Compute ``df`` once and return it with its number of rows, marked for broadcast if it is small.
 
-    Up to ``max_rows`` rows come back as a small table marked for broadcast, together with the rows
-    themselves. A larger table is checkpointed to the shared folder and comes back with ``None``;
-    joins with it then shuffle, and adaptive execution splits skewed partitions.
+    The rows never pass through Python, so values come back exactly as they were, and small and large
+    tables differ only in the join hint. Joins with a large one shuffle, and adaptive execution splits
+    skewed partitions.
     """
-    # take() stops as soon as it has seen enough rows, so a large table is not moved to find its size
-    head = df.take(max_rows + 1)
-    if len(head) <= max_rows:
-        return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema)), head
-    return keep(df), None
+    kept = keep(df)
+    n = kept.count()
+    return (F.broadcast(kept) if n <= max_rows else kept), n
