@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import exact_dedup, mixing, repetition, url_rules, warc
+from panelkit.llm import exact_dedup, mixing, packing, repetition, url_rules, warc
 
 # The rules of the URL query.
 URL_RULES = [
@@ -36,6 +37,10 @@ def op4_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf, "documents"))
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_url_filters,
         op3_source_mixing,
         op4_quality_rules,
+        op5_best_fit_packing,
         op7_exact_dedup,
         op8_warc,
     )
