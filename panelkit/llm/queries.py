@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import exact_dedup, mixing, packing, repetition, url_rules, warc
+from panelkit.llm import exact_dedup, jaccard, mixing, packing, repetition, url_rules, warc
 
 # The rules of the URL query.
 URL_RULES = [
@@ -56,6 +56,10 @@ def op8_warc(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -65,5 +69,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_best_fit_packing,
         op7_exact_dedup,
         op8_warc,
+        op10_jaccard_join,
     )
 }
