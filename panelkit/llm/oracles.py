@@ -40,3 +40,38 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
        CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
 FROM seen
 """
+
+ORACLES["op2_line_dedup"] = r"""
+WITH docs AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), every AS (
+  SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS pos FROM docs
+), counted AS (
+  SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM every
+), placed AS (
+  SELECT *, row_number() OVER d AS i, sum(w) OVER (d ROWS UNBOUNDED PRECEDING) AS upto
+  FROM counted WHERE w > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
+), ranged AS (
+  SELECT *, upto - w AS since, max(upto) OVER (PARTITION BY doc_id) AS total,
+         count(*) OVER (PARTITION BY doc_id ORDER BY upto - w RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING) AS ahead,
+         count(*) OVER (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN 49 PRECEDING AND CURRENT ROW) AS back
+  FROM placed
+), sequences AS (
+  SELECT doc_id, list(line ORDER BY i) AS lines FROM placed GROUP BY doc_id
+), stretches AS (
+  SELECT doc_id, i AS first, ahead AS n FROM ranged WHERE total - since >= 50
+  UNION SELECT doc_id, i - back + 1, back FROM ranged WHERE upto >= 50
+), named AS (
+  SELECT doc_id, first, n, array_to_string(list_slice(lines, first, first + n - 1), chr(10)) AS body
+  FROM stretches JOIN sequences USING (doc_id)
+), later AS (
+  SELECT doc_id, first, n FROM named
+  QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, first) > 1
+), gone AS (
+  SELECT DISTINCT p.doc_id, p.pos FROM placed p JOIN later l ON p.doc_id = l.doc_id AND p.i BETWEEN l.first AND l.first + l.n - 1
+), removed AS (
+  SELECT doc_id, count(*) AS n, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS places FROM gone GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(lines) AS INTEGER) AS n_lines, coalesce(n, 0) AS n_removed, coalesce(places, '') AS removed_lines
+FROM docs LEFT JOIN removed USING (doc_id)
+"""

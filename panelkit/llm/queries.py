@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import exact_dedup, jaccard, mixing, packing, repetition, url_rules, warc
+from panelkit.llm import exact_dedup, jaccard, line_dedup, mixing, packing, repetition, url_rules, warc
 
 # The rules of the URL query.
 URL_RULES = [
@@ -29,6 +29,17 @@ def op1_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = line_dedup.repeated_lines(table(spark, sf, "documents"))
+    # a document is one row of the table, so the number of its text is not needed to tell it
+    return found.select(
+        "doc_id",
+        "n_lines",
+        F.size("removed_lines").cast("bigint").alias("n_removed"),
+        F.array_join("removed_lines", ",").alias("removed_lines"),
+    )
+
+
 def op3_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf, "documents")).drop("source")
 
@@ -64,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filters,
+        op2_line_dedup,
         op3_source_mixing,
         op4_quality_rules,
         op5_best_fit_packing,
