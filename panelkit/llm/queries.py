@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import exact_dedup, jaccard, line_dedup, mixing, packing, repetition, url_rules, warc
+from panelkit.llm import cotraining, exact_dedup, jaccard, line_dedup, lm, mixing, packing, repetition, url_rules, warc
 
 # The rules of the URL query.
 URL_RULES = [
@@ -52,6 +52,10 @@ def op5_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return cotraining.quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf, "documents"))
 
@@ -67,6 +71,10 @@ def op8_warc(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op9_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf, "documents"))
 
@@ -79,8 +87,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_source_mixing,
         op4_quality_rules,
         op5_best_fit_packing,
+        op6_quality_classifier,
         op7_exact_dedup,
         op8_warc,
+        op9_lm_scores,
         op10_jaccard_join,
     )
 }
