@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.llm.words import Texts, chunks, mix
-from panelkit.session import keep
+from panelkit.session import discard, keep
 
 # Labelled rows, at most, on which the views are calibrated; they are kept from training.
 CALIBRATION_ROWS = 20_000
@@ -110,6 +110,11 @@ class Models:
         pairs = zip(views, (self.text, self.meta), (self.text_line, self.meta_line), strict=True)
         return tuple(a * (x @ w) + b for x, w, (a, b) in pairs)
 
+    def scores(self, views: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probability of good quality by the text, by the metadata, and by both."""
+        a, b = self.log_odds(views)
+        return _sigmoid(a), _sigmoid(b), _sigmoid(a + b - self.prior)
+
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
@@ -212,10 +217,29 @@ def train(rows: DataFrame, rounds: int = 2, confidence: float = 0.98, ridge: flo
     return models
 
 
-def quality_scores(
+def train_on(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
-    lang: str = "lang", label: str = "quality", threshold: float = 0.5, rounds: int = 2, confidence: float = 0.98,
-) -> DataFrame:
+    lang: str = "lang", label: str = "quality", rounds: int = 2, confidence: float = 0.98,
+) -> tuple[Models, DataFrame]:
+    """The trained models, and the stored views of every document: ``_id, _a, _b``.
+
+    Of several labels of a key the majority counts, ties are good; NULL labels do not count.
+    """
+    stored = keep(features(docs, key, text, source, lang))
+    votes = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("_k"))
+    votes = votes.agg(F.when(F.avg(F.col(label).cast("double")) >= 0.5, 1.0).otherwise(0.0).alias("_y"))
+    held = F.pmod(F.xxhash64(F.lit(1), "_k"), F.lit(1000)) < int(1000 * CALIBRATION_SHARE)
+    rows = keep(
+        stored.join(votes, stored["_id"] == votes["_k"], "left").select(
+            "_id", "_a", "_b", F.when(~held, F.col("_y")).alias("_label"), F.when(held, F.col("_y")).alias("_held")
+        )
+    )
+    models = train(rows, rounds, confidence)
+    discard(rows)
+    return models, stored
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", threshold: float = 0.5, **options) -> DataFrame:
     """Quality of every document: ``key, text_score, metadata_score, score, kept``.
 
     Two classifiers see a document: one its text (characters, word shapes, repetition), one its
@@ -226,31 +250,20 @@ def quality_scores(
     kept if the combined probability reaches ``threshold``.
 
     Training passes over all documents; the calibration rows are at most ``CALIBRATION_ROWS``, chosen by a
-    hash. Of several labels of a key the majority counts, ties are good; NULL labels do not count. NULL
-    texts are empty, NULL source and language are values of their own, rows that repeat a key are scored
-    alike if they are alike. Without labels all scores are 0.5 and everything is kept; an empty table
-    gives an empty result; other columns are ignored.
+    hash. ``options`` are those of :func:`train_on`. NULL texts are empty, NULL source and language are
+    values of their own, rows that repeat a key are scored one by one. Without labels all scores are 0.5
+    and everything is kept; an empty table gives an empty result; other columns are ignored.
     """
-    stored = keep(features(docs, key, text, source, lang))
-    votes = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.avg(F.col(label).cast("double")).alias("_y"))
-    votes = votes.select("_k", F.when(F.col("_y") >= 0.5, 1.0).otherwise(0.0).alias("_y"))
-    held = F.pmod(F.xxhash64(F.lit(1), "_k"), F.lit(1000)) < int(1000 * CALIBRATION_SHARE)
-    rows = keep(
-        stored.join(votes, stored["_id"] == votes["_k"], "left").select(
-            "_id", "_a", "_b", F.when(~held, F.col("_y")).alias("_label"), F.when(held, F.col("_y")).alias("_held")
-        )
-    )
-    models = train(rows, rounds, confidence)
+    models, stored = train_on(docs, labels, key, **options)
     kind = docs.select(key).schema[0].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             frame = pd.DataFrame({"_a": batch.column(1).to_pylist(), "_b": batch.column(2).to_pylist()})
-            a, b = models.log_odds(_views(frame))
-            scores = [pa.array(_sigmoid(v)) for v in (a, b, a + b - models.prior)]
+            scores = [pa.array(v) for v in models.scores(_views(frame))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *scores], names=["_id", "_s1", "_s2", "_s3"])
 
-    scored = stored.select("_id", "_a", "_b").mapInArrow(score, f"_id {kind}, _s1 double, _s2 double, _s3 double")
+    scored = stored.mapInArrow(score, f"_id {kind}, _s1 double, _s2 double, _s3 double")
     return scored.select(
         F.col("_id").alias(key),
         F.col("_s1").alias("text_score"),
@@ -258,3 +271,22 @@ def quality_scores(
         F.col("_s3").alias("score"),
         (F.col("_s3") >= threshold).alias("kept"),
     )
+
+
+def keep_good(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
+    lang: str = "lang", threshold: float = 0.5, **options,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that :func:`quality_scores` keeps; judged where they are."""
+    models, stored = train_on(docs, labels, key, text, source, lang, **options)
+    discard(stored)
+    at = [docs.columns.index(c) for c in (text, source, lang)]
+
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, texts in chunks(batch.column(at[0])):
+                rest = [batch.column(c).slice(i, j - i).cast(pa.string()).to_pylist() for c in at[1:]]
+                views = text_view(texts), meta_view(meta_slots(texts, *rest))
+                yield batch.slice(i, j - i).filter(pa.array(models.scores(views)[2] >= threshold))
+
+    return docs.mapInArrow(good, docs.schema)

@@ -264,6 +264,33 @@ def _components(whole: DataFrame, num: int, den: int) -> DataFrame:
     return connected_components(links.unionByName(more))
 
 
+def _classes(docs: DataFrame, key: str, text: str, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Rows ``_id, _x, _d1, _d2, _n``, and of each set ``_d1, _d2, _n, _least``, its component's first row."""
+    heads = keep(_heads(docs, key, text, size, num, den))
+    same = ["_d1", "_d2", "_n"]
+    sets = heads.where("_n > 0").groupBy(*same).agg(
+        F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_x")).alias("_least")
+    )
+    sets = keep(sets.withColumn("_set", F.monotonically_increasing_id()))
+    first = sets.select("_set", *[F.col(c).alias(f"_f{c}") for c in same], "_least._id", "_least._x")
+    first = first.withColumnsRenamed({"_id": "_f_id", "_x": "_f_x"})
+    one = (F.col("_x") == F.col("_f_x")) & F.col("_id").eqNullSafe(F.col("_f_id"))
+
+    # sets whose first members hardly occur elsewhere are linked with nothing
+    own = heads.join(first, one & (F.col("_n") == F.col("_f_n")) & (F.col("_d1") == F.col("_f_d1")))
+    entries = own.select("_set", F.explode("_head").alias("_h"))
+    known = entries.join(_shared(entries.select("_h")), "_h").groupBy("_set").agg(F.count(F.lit(1)).alias("_known"))
+    enough = F.col("_known") >= _extra(_least_partner(F.col("_f_n"), num, den), FIRST)
+    alive = first.join(known, "_set").where(enough)
+    texts = _texts(docs, key, text).join(alive, one).withColumnsRenamed({f"_f{c}": c for c in same})
+    comps = _components(keep(_whole_sets(texts, size)), num, den)
+
+    named = sets.join(comps, sets["_set"] == comps["node"], "left")
+    named = keep(named.select(*same, "_least", F.coalesce("comp", "_set").alias("_comp")))
+    least = named.groupBy("_comp").agg(F.min("_least").alias("_least"))
+    return heads.select("_id", "_x", *same), named.drop("_least").join(least, "_comp").select(*same, "_least")
+
+
 def jaccard_components(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, num: int = 85, den: int = 100
 ) -> DataFrame:
@@ -280,32 +307,29 @@ def jaccard_components(
     Members are 64-bit hashes of the n-grams and identical sets are told by a 128-bit digest; everything
     else is exact: no set of candidates is capped, and no pairs are listed within a group of copies.
     """
-    heads = keep(_heads(docs, key, text, size, num, den))
-    same = ["_d1", "_d2", "_n"]
-    sets = heads.where("_n > 0").groupBy(*same).agg(
-        F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_x")).alias("_first")
-    )
-    first = [F.col(f"_first.{c}").alias(f"_f{c}") for c in ("_id", "_x")]
-    sets = keep(sets.select(*same, *first, F.monotonically_increasing_id().alias("_set")))
+    rows, classes = _classes(docs, key, text, size, num, den)
+    joined = rows.join(classes, ["_d1", "_d2", "_n"], "left")
+    component = F.when(F.col("_n") > 0, F.col("_least._id")).otherwise(F.col("_id"))
+    return joined.select(F.col("_id").alias(key), F.col("_n").alias("n_shingles"), component.alias("component_id"))
 
-    # sets whose first members hardly occur elsewhere are linked with nothing
-    n = F.col("_n")
-    one = (heads["_x"] == sets["_f_x"]) & heads["_id"].eqNullSafe(sets["_f_id"])
-    own = heads.join(sets.withColumnRenamed("_n", "_m"), one & (n == F.col("_m")) & (heads["_d1"] == sets["_d1"]))
-    entries = own.select("_set", F.explode("_head").alias("_h"))
-    known = entries.join(_shared(entries.select("_h")), "_h").groupBy("_set").agg(F.count(F.lit(1)).alias("_known"))
-    enough = F.col("_known") >= _extra(_least_partner(n, num, den), FIRST)
-    alive = sets.join(known, "_set").where(enough)
-
-    rows = _texts(docs, key, text)
-    one = (rows["_x"] == alive["_f_x"]) & rows["_id"].eqNullSafe(alive["_f_id"])
-    whole = keep(_whole_sets(rows.join(alive, one), size))
-    comps = _components(whole, num, den)
-
-    named = keep(sets.join(comps, sets["_set"] == comps["node"], "left").withColumn("_comp", F.coalesce("comp", "_set")))
-    least = named.groupBy("_comp").agg(F.min("_f_id").alias("component_id"))
-    named = named.join(least, "_comp").select(*same, "component_id")
-    joined = heads.select("_id", *same).join(named, same, "left")
-    return joined.select(
-        F.col("_id").alias(key), F.col("_n").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id")
-    )
+
+def drop_near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, num: int = 85, den: int = 100
+) -> DataFrame:
+    """The rows of ``docs``, all columns, without all but one of each component: that of the smallest key.
+
+    Documents without words all stay. Of rows that repeat key and text, one stays.
+    """
+    rows, classes = _classes(docs, key, text, size, num, den)
+    joined = rows.join(classes, ["_d1", "_d2", "_n"], "left")
+    first = F.col("_id").eqNullSafe(F.col("_least._id")) & (F.col("_x") == F.col("_least._x"))
+    chosen = joined.where((F.col("_n") == 0) | first).groupBy(F.col("_id").alias("_k"), F.col("_x").alias("_kx"))
+    chosen = keep(chosen.agg(F.count(F.lit(1)).alias("_times")))
+    own = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    named = docs.select(*[F.col(f"`{c}`").alias(v) for c, v in own.items()])
+    hashed = named.withColumn("_kx2", F.xxhash64(F.coalesce(F.col(own[text]), F.lit(""))))
+    match = F.col(own[key]).eqNullSafe(F.col("_k")) & (F.col("_kx2") == F.col("_kx"))
+    stay = hashed.join(chosen.select("_k", "_kx"), match, "left_semi")
+    if not chosen.where("_times > 1").isEmpty():
+        stay = stay.dropDuplicates([own[key], "_kx2"])
+    return stay.select(*[F.col(v).alias(c) for c, v in own.items()])
