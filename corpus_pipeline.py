@@ -1,22 +1,56 @@
-"""A training corpus from the documents table: stages that run one after the other."""
+"""A training corpus from the documents table: stages that run one after the other.
+
+Each stage takes what its predecessor kept and, but for the last, returns rows with the columns of the
+table. The last returns the packed sequences.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from panelkit.llm.cotraining import keep_good
 from panelkit.llm.exact_dedup import drop_exact_duplicates
+from panelkit.llm.jaccard import drop_near_duplicates
+from panelkit.llm.mixing import mixed_documents
+from panelkit.llm.packing import pack_documents
 from panelkit.session import keep
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier keeps."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of identical texts."""
+    """One document of each group of identical texts, the one with the largest doc_id."""
     return drop_exact_duplicates(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that n-gram Jaccard links join: 5-word n-grams, similarity 0.8 or more."""
+    return drop_near_duplicates(docs, size=5, num=80, den=100)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixed_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token pieces with their place in sequences of 4096 tokens."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES = [
+    ("quality classifier", quality_classifier),
     ("exact dedup", exact_dedup),
+    ("n-gram Jaccard join", near_dedup),
+    ("source mixing", source_mixing),
+    ("best-fit packing", packing),
 ]
 
+# no SQL for the trained classifier and the packing; tests/llm holds the stages against brute force
 ORACLE_SQL = None
 
 
