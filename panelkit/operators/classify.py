@@ -12,6 +12,7 @@ from panelkit.functions.semantics import nan_to_null
 from panelkit.operators.quantiles import cumulative_share, quantile_values
 from panelkit.operators.reshape import to_long
 
+# fixed values of the study
 PROBS = (0.05, 0.40, 0.60, 0.95)
 
 

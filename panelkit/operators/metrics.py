@@ -18,6 +18,7 @@ from panelkit.operators.reshape import to_long
 KEYS = ("scenario", "x", "y")
 BASE_YEAR = 2004
 LABELLED = ("baseline", "impact", "recovery")
+# fixed values: names of the output columns
 STATES = ("s_to", "s_ti1", "ti1", "s_ti2", "ti2", "s_tr", "tr", "stability")
 DIMENSIONS = (
     "lat",
@@ -35,8 +36,9 @@ DIMENSIONS = (
 def panel_long(
     panel: DataFrame, keys: Sequence[str] = KEYS, variables: Sequence[str] = VARIABLES
 ) -> DataFrame:
-    """Labelled panel with one row per variable."""
-    return to_long(panel, [*keys, "period", "year"], variables)
+    """Labelled panel with one row per variable; NaN becomes NULL."""
+    long = to_long(panel, [*keys, "period", "year"], variables)
+    return long.withColumn("value", nan_to_null(F.col("value").cast("double")))
 
 
 def baseline_value(
@@ -117,7 +119,12 @@ def stability(
 
 
 def _state_aggregates(
-    v: str, base_year: int, max_duration: int | None, recovery_len: int, mode: str, on_zero: str
+    v: str,
+    base_year: int,
+    max_duration: int | None,
+    recovery_len: int | None,
+    mode: str,
+    on_zero: str,
 ) -> list[Column]:
     """Aggregates of one variable. All buffers are plain numbers, so Spark hash-aggregates them."""
     value, year, period, at = F.col(v), F.col("year"), F.col("period"), F.col("phase_year")
@@ -134,6 +141,9 @@ def _state_aggregates(
         aggs += [F.max(F.when(impact & (at == j), value)).alias(f"{v}.i{j}") for j in range(max_duration)]
     if mode == "first":
         aggs.append(F.min_by(value, F.when(recovery, year)).alias(f"{v}.s_tr"))
+    elif recovery_len is None:
+        seen = F.when(recovery & value.isNotNull(), F.struct(year.alias("year"), value.alias("value")))
+        aggs.append(F.sort_array(F.collect_list(seen)).alias(f"{v}.seen"))
     else:
         aggs += [F.max(F.when(recovery & (at == j), value)).alias(f"{v}.r{j}") for j in range(recovery_len)]
     return aggs
@@ -150,7 +160,7 @@ def _first_hit(values: Sequence[Column], hit, start: Column) -> tuple[Column, Co
 
 
 def _states(
-    v: str, max_duration: int | None, recovery_len: int, mode: str, margin: float
+    v: str, max_duration: int | None, recovery_len: int | None, mode: str, margin: float
 ) -> Column:
     """Struct of the states of one variable from its aggregates."""
 
@@ -165,6 +175,10 @@ def _states(
         s_ti1, ti1 = _first_hit(years, lambda c: c == low, F.col("_impact_start"))
     if mode == "first":
         s_tr, tr = agg("s_tr"), F.col("_recovery_first")
+    elif recovery_len is None:
+        # one row per recovery year of one key; the years are a property of the design
+        hits = F.filter(agg("seen"), lambda r: r["value"] >= margin * agg("s_to"))
+        s_tr, tr = F.get(hits, 0)["value"], F.get(hits, 0)["year"]
     else:
         years = [agg(f"r{j}") for j in range(recovery_len)]
         s_tr, tr = _first_hit(years, lambda c: c >= margin * agg("s_to"), F.col("_recovery_start"))
@@ -198,7 +212,7 @@ def resilience_metrics(
     base_year: int = BASE_YEAR,
     mode: str = "first",
     margin: float = 0.95,
-    recovery_len: int = 4,
+    recovery_len: int | None = 4,
     max_duration: int | None = 4,
     keys: Sequence[str] = KEYS,
     variables: Sequence[str] = VARIABLES,
@@ -210,8 +224,9 @@ def resilience_metrics(
     The panel stays wide until after the shuffle: all variables of a key share one row per year and one
     aggregation group, and the few result rows are turned long at the end. ``(keys, year)`` must be
     unique. ``carry`` names attributes that are constant per key; they travel as grouping keys, which
-    saves the join of :func:`enrich_metrics`. Impacts longer than ``max_duration`` years raise an error;
-    pass ``None`` for impacts of any length, at the price of a sort-based aggregation.
+    saves the join of :func:`enrich_metrics`. Impacts longer than ``max_duration`` years raise an error,
+    and in threshold mode recoveries longer than ``recovery_len`` years; pass ``None`` for any length, at
+    the price of a sort-based aggregation.
     """
     if mode not in ("first", "threshold"):
         raise ValueError("mode must be 'first' or 'threshold'")
@@ -224,6 +239,7 @@ def resilience_metrics(
         F.max(F.when(impact, F.col("year"))).alias("_impact_last"),
         F.max(F.when(recovery, start)).alias("_recovery_start"),
         F.min(F.when(recovery, F.col("year"))).alias("_recovery_first"),
+        F.max(F.when(recovery, F.col("phase_year"))).alias("_recovery_end"),
         F.count(F.when(F.col("period").isin(*LABELLED) | (F.col("year") == base_year), 1)).alias("_rows"),
     ]
     for v in variables:
@@ -235,6 +251,11 @@ def resilience_metrics(
         wide = wide.withColumn(
             "_impact_last", F.when(too_long, F.raise_error(message)).otherwise(F.col("_impact_last"))
         )
+    if mode == "threshold" and recovery_len is not None:
+        message = F.lit(f"a recovery lasts longer than recovery_len = {recovery_len} years")
+        start = F.col("_recovery_start")
+        too_long = F.col("_recovery_end") >= recovery_len
+        wide = wide.withColumn("_recovery_start", F.when(too_long, F.raise_error(message)).otherwise(start))
     per_variable = [_states(v, max_duration, recovery_len, mode, margin) for v in variables]
     states = wide.select(*keys, *carry, F.inline(F.array(*per_variable)))
     long = components(states, on_zero)

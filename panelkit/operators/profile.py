@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.functions.labels import WIDE_METRICS
 from panelkit.functions.semantics import nan_to_null
+from panelkit.operators.numbering import null_safe_join
 from panelkit.operators.quantiles import _match, exact_quantiles
 from panelkit.operators.reshape import to_long, to_wide
 from panelkit.session import settle
@@ -220,28 +221,33 @@ def density_profile(
     between grid points only, whatever the number of values.
 
     Meant for replicate statistics: a group holds one value per replicate, so its size is a parameter
-    and its quantiles may be computed in one task.
+    and its quantiles may be computed in one task. Groups are aggregated first, panels from the groups,
+    and both are joined back, so a panel's rows never meet in one task.
     """
     panel = list(by if panel is None else panel)
     rows = _present(df.select(*by, F.col(value).alias("_v")), "_v")
-    group, frame = Window.partitionBy(*by), Window.partitionBy(*panel)
-    q = F.percentile("_v", F.array(*[F.lit(p) for p in (0.25, 0.75, *tails)])).over(group)
-    rows = rows.withColumns(
-        {"_q": q, "_n": F.count("_v").over(group), "_sd": F.stddev_samp("_v").over(group)}
+    groups = rows.groupBy(*by).agg(
+        F.percentile("_v", F.array(*[F.lit(p) for p in (0.25, 0.75, *tails)])).alias("_q"),
+        F.count("_v").alias("_n"),
+        F.stddev_samp("_v").alias("_sd"),
+        F.min("_v").alias("_lo"),
+        F.max("_v").alias("_hi"),
     )
     spread = F.least("_sd", (F.col("_q")[1] - F.col("_q")[0]) / 1.34)
     scale = F.coalesce(
         F.nullif(spread, F.lit(0.0)),
         F.nullif(F.col("_sd"), F.lit(0.0)),
-        F.nullif(F.abs("_v"), F.lit(0.0)),
+        # only reached where all values of a group are equal
+        F.nullif(F.abs("_lo"), F.lit(0.0)),
         F.lit(1.0),
     )
-    rows = rows.withColumn("_bw", 0.9 * scale * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
-    share = 1 / F.col("_n")
-    joint = F.sum(F.col("_bw") * share).over(frame) / F.sum(share).over(frame)
-    rows = rows.withColumns(
-        {"_bw": joint, "_lo": F.min("_v").over(frame), "_hi": F.max("_v").over(frame)}
+    groups = groups.withColumn("_bw", 0.9 * scale * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
+    groups, _ = settle(groups.drop("_sd"))
+    panels = groups.groupBy(*panel).agg(
+        F.avg("_bw").alias("_bw"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")
     )
+    shared = null_safe_join(groups.drop("_bw", "_lo", "_hi"), panels, panel)
+    rows = null_safe_join(rows, shared, by)
     low, high = F.col("_lo") - 3 * F.col("_bw"), F.col("_hi") + 3 * F.col("_bw")
     rows = rows.withColumns({"_from": low, "_d": (high - low) / (points - 1)})
     at = (F.col("_v") - F.col("_from")) / F.col("_d")
@@ -274,12 +280,39 @@ def density_profile(
     )
 
 
+def _t_two_sided(t: float, df: int) -> float:
+    """Probability that a Student variable with ``df`` degrees of freedom lies within ``t`` of 0.
+
+    The finite sums of Abramowitz and Stegun 26.7.3 and 26.7.4.
+    """
+    angle = math.atan(t / math.sqrt(df))
+    cos2 = math.cos(angle) ** 2
+    odd = df % 2
+    term, total = math.cos(angle) if odd else 1.0, 0.0
+    for k in range(odd, df - 1, 2):
+        total += term
+        term *= cos2 * (k + 1) / (k + 2)
+    total *= math.sin(angle)
+    return 2 / math.pi * (angle + total) if odd else total
+
+
+def _t_exact(share: float, df: int) -> float:
+    """Half width of the interval around 0 that holds ``share`` of a Student distribution."""
+    low, high = 0.0, 1e4
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if _t_two_sided(mid, df) < share else (low, mid)
+    return high
+
+
 def _t_quantile(z: float, df: Column) -> Column:
-    """Student quantile from the normal quantile ``z`` by its expansion in powers of 1/df.
+    """Student quantile from the normal quantile ``z``: exact below 10 degrees of freedom.
 
-    The terms are those of Abramowitz and Stegun 26.7.5; the error is below 1e-5 from 10 degrees of
-    freedom on, and the lines here rest on thousands.
+    From there on its expansion in powers of 1/df, with the terms of Abramowitz and Stegun 26.7.5, whose
+    error is below 1e-5.
     """
+    share = math.erf(z / math.sqrt(2))
+    exact = F.array(*[F.lit(_t_exact(share, k)) for k in range(1, 10)])
     terms = (
         (z**3 + z) / 4,
         (5 * z**5 + 16 * z**3 + 3 * z) / 96,
@@ -289,7 +322,7 @@ def _t_quantile(z: float, df: Column) -> Column:
     out = F.lit(z)
     for power, term in enumerate(terms, start=1):
         out = out + term / F.pow(df, F.lit(float(power)))
-    return out
+    return F.when(df < 10, F.get(exact, df.cast("int") - 1)).otherwise(out)
 
 
 # normal quantile of a two-sided 95 % band

@@ -15,8 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkit.functions.semantics import nan_to_null, search_sorted, sort_key
-from panelkit.session import settle
+from panelkit.functions.semantics import nan_to_null, sort_key
+from panelkit.session import keep, settle
 
 # Right shifts of the sort key: 10 mantissa bits first, then 11 more each time. A bucket of the last
 # level holds at most 2**20 distinct doubles (2**21 around zero).
@@ -173,54 +173,44 @@ def quantile_values(df: DataFrame, value: str, probs: Sequence[float]) -> list[f
     return [None] * len(probs) if row is None else list(row["quantiles"])
 
 
+# Distinct values of a bucket of the cumulative share, at most, are 2 to this power.
+SHARE_SHIFT = 20
+
+
 def cumulative_share(queries: DataFrame, query: str, sample: DataFrame, value: str, out: str) -> DataFrame:
     """Add ``out``: share of the sample that is not larger than the query value.
 
-    The distinct query values split the sample into intervals; one pass counts the sample rows per
-    interval, and running totals over these few counts give the shares. With more query values than
-    fit into an expression, both sides are counted per distinct value and totalled in two levels.
+    Sample and query values are counted together per distinct value, and running totals over the values
+    give the shares: inside buckets of neighbouring values, over the buckets of a partition of the value
+    range, and over the partitions, so no task orders more than one of these. NULL and NaN queries and
+    queries against an empty sample have no share.
     """
+    q = nan_to_null(F.col(query).cast("double"))
+    rows = queries.withColumn("_q", q)
     s = sample.select(nan_to_null(F.col(value).cast("double")).alias("_v")).where("_v is not null")
-    q = queries.select(F.col(query).cast("double").alias("_q")).where("_q is not null").distinct()
-    points = q.limit(MAX_POINTS + 1).toArrow().column(0).to_pylist()
-    if len(points) <= MAX_POINTS:
-        table = F.broadcast(_shares_by_interval(s, sorted(points)))
-    else:
-        table = _shares_by_value(s, q)
-    shares = table.withColumnRenamed("_share", out)
-    joined = queries.join(shares, F.col(query).cast("double") == F.col("_q"), "left")
-    return joined.drop("_q")
-
-
-MAX_POINTS = 4096
-
-
-def _shares_by_interval(sample: DataFrame, points: list[float]) -> DataFrame:
-    spark = sample.sparkSession
-    counts = search_sorted(sample, "_v", points, "_i").groupBy("_i").agg(F.count(F.lit(1)).alias("_c"))
-    grid = spark.createDataFrame(list(enumerate(points)), "_i int, _q double")
-    counts = counts.join(F.broadcast(grid), "_i", "full")
-    upto = Window.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy()
-    share = F.sum(F.coalesce("_c", F.lit(0))).over(upto) / F.sum("_c").over(everything)
-    return counts.select("_q", share.alias("_share")).where(F.col("_q").isNotNull())
-
-
-def _shares_by_value(sample: DataFrame, queries: DataFrame) -> DataFrame:
-    """Two-level running totals over distinct values: bucket totals first, then inside each bucket."""
-    both = sample.select("_v", F.lit(1).alias("_c"), F.lit(False).alias("_asked")).unionByName(
-        queries.select(F.col("_q").alias("_v"), F.lit(0).alias("_c"), F.lit(True).alias("_asked"))
+    both = s.select("_v", F.lit(1).alias("_c"), F.lit(False).alias("_asked")).unionByName(
+        rows.where("_q is not null").select(F.col("_q").alias("_v"), F.lit(0).alias("_c"), F.lit(True).alias("_asked"))
+    )
+    # 0.0 + v makes -0.0 and 0.0 one value, as in comparisons
+    counts = both.groupBy((F.lit(0.0) + F.col("_v")).alias("_v")).agg(
+        F.sum("_c").alias("_c"), F.max("_asked").alias("_asked")
     )
-    counts = both.groupBy("_v").agg(F.sum("_c").alias("_c"), F.max("_asked").alias("_asked"))
-    counts = counts.withColumn("_b", F.shiftright(sort_key(F.col("_v")), 36))
+    counts = keep(counts.withColumn("_b", F.shiftright(sort_key(F.col("_v")), SHARE_SHIFT)))
     totals = counts.groupBy("_b").agg(F.sum("_c").alias("_bc"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(
-        "_b",
-        F.coalesce(F.sum("_bc").over(before), F.lit(0)).alias("_start"),
-        F.sum("_bc").over(Window.partitionBy()).alias("_all"),
+    totals = keep(totals.repartitionByRange("_b").withColumn("_part", F.spark_partition_id()))
+    parts = totals.groupBy("_part").agg(F.sum("_bc").alias("_pc"))
+    # one row per partition
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(
+        "_part",
+        F.coalesce(F.sum("_pc").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_pc").over(Window.partitionBy()).alias("_all"),
     )
+    inside = Window.partitionBy("_part").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.withColumn("_start", F.coalesce(F.sum("_bc").over(inside), F.lit(0))).join(parts, "_part")
+    starts = starts.select("_b", (F.col("_start") + F.col("_before")).alias("_start"), "_all")
     upto = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("_inside", F.sum("_c").over(upto)).join(totals, "_b")
-    share = (F.col("_start") + F.col("_inside")) / F.col("_all")
-    return ranked.where("_asked").select(F.col("_v").alias("_q"), share.alias("_share"))
+    ranked = counts.withColumn("_inside", F.sum("_c").over(upto)).where("_asked").join(starts, "_b")
+    share = F.try_divide(F.col("_start") + F.col("_inside"), F.col("_all"))
+    shares = ranked.select(F.col("_v").alias("_asked_v"), share.alias(out))
+    return rows.join(shares, F.lit(0.0) + F.col("_q") == F.col("_asked_v"), "left").drop("_q", "_asked_v")

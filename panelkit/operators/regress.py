@@ -28,7 +28,7 @@ def formula(dependent: str, independent: str) -> str:
     return f"{dependent} ~ {independent}"
 
 
-# metric shown for each vegetation-against-precipitation formula
+# metric shown for each vegetation-against-precipitation formula; fixed values of the study
 FORMULA_METRICS = dict(
     zip(
         [formula(*p) for p in PAIRS[2:]],
@@ -120,6 +120,41 @@ def augment(pairs: DataFrame, coefs: DataFrame, by: Sequence[str] = MODEL_KEYS)
     )
 
 
+def sample_residuals(
+    sample: DataFrame,
+    coefs: DataFrame,
+    pairs: Sequence[tuple[str, str]] = PAIRS,
+    ids: Sequence[str] = ("id", "scenario"),
+    by: Sequence[str] = ("sample_id", STRATUM),
+) -> DataFrame:
+    """Complete pairs with fitted value and residual straight from the sampled rows.
+
+    Equals :func:`augment` over :func:`pair_long`, but the models of a sample travel as one row, so each
+    sampled row is joined once for all formulas and turned long afterwards.
+    """
+    model = F.struct("intercept", "slope")
+    models = coefs.groupBy(*by).agg(
+        F.map_from_entries(F.collect_list(F.struct("formula", model))).alias("_models")
+    )
+    names = {c: nan_to_null(F.col(c)).alias(c) for p in pairs for c in p}
+    joined = sample.select(*ids, *by, *names.values()).join(models, list(by))
+    items = []
+    for dep, ind in pairs:
+        name = F.lit(formula(dep, ind))
+        fit = F.try_element_at("_models", name)
+        complete = F.col(dep).isNotNull() & F.col(ind).isNotNull() & fit.isNotNull()
+        fitted = fit["intercept"] + fit["slope"] * F.col(ind)
+        row = F.struct(
+            name.alias("formula"),
+            F.col(dep).alias("y"),
+            F.col(ind).alias("x"),
+            fitted.alias("fitted"),
+            (F.col(dep) - fitted).alias("resid"),
+        )
+        items.append(F.when(complete, row))
+    return joined.select(*ids, *by, F.inline(F.array_compact(F.array(*items))))
+
+
 def mae(residuals: DataFrame, by: Sequence[str] = ("formula", STRATUM)) -> DataFrame:
     """Mean absolute residual over all replicates."""
     return residuals.groupBy(*by).agg(F.avg(F.abs("resid")).alias("mae"))

@@ -7,13 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkit.operators.numbering import block_counts, number_rows
+from panelkit.operators.numbering import _numbered, block_starts, null_safe_join
 from panelkit.operators.quantiles import _match
-from panelkit.session import settle
-
-# Strata of up to this many times the sample size are ordered as a whole; larger ones are drawn from.
-ORDERED_STRATA = 8
-
+from panelkit.session import keep, settle
 
 def random_bits(parts: Sequence[str | Column], method: str = "xxhash64") -> Column:
     """60 pseudo-random bits as a non-negative BIGINT.
@@ -44,15 +40,16 @@ def resample(
     the replicates: rows get a consecutive number inside their stratum, the replicates draw numbers,
     and one equi-join fetches the drawn rows. The work is the data plus ``reps * n`` draws per stratum.
 
-    ``order`` must identify the rows of a stratum, and ``block`` must not decrease along it (see
+    A NULL stratum is a stratum too. ``order`` must identify the rows of a stratum, and ``block`` must not decrease along it (see
     :func:`panelkit.operators.numbering.number_rows`).
     """
-    numbered = number_rows(df, block, order, "_pos", [strata])
-    # the same counts give the block starts; Spark reuses their shuffle
-    counts = block_counts(df, block, [strata])
-    sizes = counts.groupBy(strata).agg(F.sum("_n").alias("_size"))
+    starts = keep(block_starts(df, block, [strata]))
+    numbered = _numbered(df, block, order, "_pos", [strata], starts)
+    sizes = starts.groupBy(strata).agg(F.sum("_n").alias("_size"))
     drawn = draw_positions(sizes, strata, n, reps, seed, method)
-    return numbered.join(drawn, [strata, "_pos"]).drop("_pos")
+    # the draws are dealt out after they are exploded, so the join sees their true size
+    drawn = drawn.repartition(strata, "_pos")
+    return null_safe_join(numbered.hint("shuffle_merge"), drawn, [strata, "_pos"]).drop("_pos")
 
 
 def draw_positions(
@@ -60,32 +57,24 @@ def draw_positions(
 ) -> DataFrame:
     """``strata, sample_id, _pos``: the row numbers each replicate takes from each stratum.
 
-    A small stratum is put in random order and the first ``n`` numbers are taken. From a large one,
-    numbers are drawn with replacement and repeats are skipped, which is the same as drawing without
-    replacement; should fewer than ``n`` distinct ones come up, consecutive numbers fill the rest. Each
-    replicate and stratum is one row with an array of at most ``8 n`` candidates, so its size is a
-    parameter, and nothing has to be sorted or shuffled to draw.
+    One rule for all sizes, Floyd's: with ``m`` rows wanted of ``size``, step ``j`` from ``size - m`` to
+    ``size - 1`` draws a number up to ``j`` and takes it, or ``j`` itself if the number was taken before.
+    Every subset of ``m`` rows is equally likely, there are ``m`` draws exactly, and a stratum of at most
+    ``n`` rows comes back whole. Each replicate and stratum is one row with an array of ``n`` numbers, so
+    its size is a parameter, and nothing has to be sorted to draw.
     """
     groups = sizes.withColumn("sample_id", F.explode(F.sequence(F.lit(1), F.lit(reps))))
     groups = groups.repartition(strata, "sample_id")
-    size = F.col("_size")
+    size = F.col("_size").cast("bigint")
+    last = F.sequence(size - F.least(size, F.lit(n)), size - 1)
 
-    def bits(j: Column) -> Column:
-        return random_bits([F.lit(seed), F.col("sample_id"), F.col(strata), j], method)
+    def take(taken: Column, j: Column) -> Column:
+        bits = random_bits([F.lit(seed), F.col("sample_id"), F.col(strata), j], method)
+        number = F.pmod(bits, j + 1)
+        return F.concat(taken, F.array(F.when(F.array_contains(taken, number), j).otherwise(number)))
 
-    def numbers(stop: Column) -> Column:
-        return F.sequence(F.lit(0).cast("bigint"), stop.cast("bigint"))
-
-    shuffled = F.array_sort(
-        F.transform(numbers(size - 1), lambda j: F.struct(bits(j).alias("bits"), j.alias("pos")))
-    )["pos"]
-    tries = F.lit(n + n // 4 + 64)
-    drawn = F.array_distinct(F.transform(numbers(tries - 1), lambda j: F.pmod(bits(j), size)))
-    filled = F.when(F.size(drawn) >= n, drawn).otherwise(
-        F.array_distinct(F.concat(drawn, numbers(F.lit(n - 1))))
-    )
-    taken = F.when(size <= ORDERED_STRATA * n, shuffled).otherwise(filled)
-    return groups.select(strata, "sample_id", F.explode(F.slice(taken, 1, n)).alias("_pos"))
+    drawn = F.aggregate(last, F.array().cast("array<bigint>"), take)
+    return groups.select(strata, "sample_id", F.explode(drawn).alias("_pos"))
 
 
 def sample_per_group(

@@ -25,6 +25,7 @@ SCATTERS = {
     ("precip_stability", "gpp_stability"): ((0.0, 1.0), (0.0, 1.0)),
 }
 LINE_LIMITS = dict(zip([regress.formula(*p) for p in regress.PAIRS[2:]], (1.0, 2.5, 12.5, 1.0), strict=True))
+UNPLOTTED = ("GLDAS2_0",)
 GPP_OUTLIER = 2000.0
 REPLICATES, SAMPLE_SIZE, SEED, RESIDUALS_SHOWN = 5000, 500, 2021, 3000
 
@@ -53,7 +54,7 @@ def precipitation_classes(
         classify.series_long(monthly, ["Year", "Month"], sources), classified
     )
     return {
-        "series": classify.plot_series(long),
+        "series": classify.plot_series(long, exclude=UNPLOTTED),
         "classified": classified,
         "summary": summary,
         "distances": distances,
@@ -81,8 +82,8 @@ def monthly_grids(grids: DataFrame, nx: int, values: Sequence[str] = ("RAINRATE"
 
 def cell_table(setup: DataFrame) -> DataFrame:
     """Cell attributes with ids from the setup grid (``x, y, lat, lon, soil_type, veg_type``)."""
-    tables = [setup.select("x", "y", *columns) for columns in (("lat", "lon"), ("soil_type",), ("veg_type",))]
-    return rollup.cell_attributes(*[rollup.cell_id(t) for t in tables])
+    numbered = rollup.cell_id(setup.select("x", "y", "lat", "lon", "soil_type", "veg_type"))
+    return numbered.select(*rollup.CELL_KEYS, "lat", "lon", "soil_type", "veg_type")
 
 
 def yearly_table(monthly: DataFrame, cells: DataFrame, limit: float = GPP_OUTLIER) -> DataFrame:
@@ -132,7 +133,7 @@ def regressions(
     drawn = _kept(drawn, workdir, "sample")
     coefs = _kept(regress.fit_sample(drawn), workdir, "coefs")
     pairs = regress.pair_long(drawn, complete=True)
-    residuals = regress.augment(pairs, coefs)
+    residuals = _kept(regress.sample_residuals(drawn, coefs), workdir, "residuals")
     shown = resample.sample_per_group(
         residuals,
         ["formula", "veg_type"],
@@ -140,6 +141,7 @@ def regressions(
         ["formula", "sample_id", "id", "scenario"],
         seed,
     )
+    shown = _kept(shown, workdir, "residuals_shown")
     coef_rows, ratios = regress.coef_long(coefs), regress.ratio_median(drawn)
     first = [regress.formula(*p) for p in regress.PAIRS[:2]]
     limit = F.lit(None).cast("double")
@@ -148,11 +150,17 @@ def regressions(
     clipped = residuals.where(
         F.col("formula").isin(*LINE_LIMITS) & F.col("x").between(0, limit) & F.col("fitted").between(0, limit)
     )
+    band = regress.confidence_band(coefs, regress.x_ranges(pairs))
+    # the axis limits cut the bands drawn with the lines; formulas without limits keep theirs
+    shown_band = limit.isNull() | (
+        F.col("x").between(0, limit) & F.col("low").between(0, limit) & F.col("high").between(0, limit)
+    )
     by = ["formula", "veg_type"]
     return {
         "coefs": coefs,
         "residuals": residuals,
-        "band": regress.confidence_band(coefs, regress.x_ranges(pairs)),
+        "band": band,
+        "band_shown": band.where(shown_band),
         "mae": regress.mae(residuals),
         "coef_rows": coef_rows.withColumn("metric_order", ordinal(F.col("metric"), METRIC_ORDER)),
         "ratios": ratios,

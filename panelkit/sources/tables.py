@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from panelkit.functions.labels import CLASS_YEARS
 from panelkit.functions.semantics import nan_to_null
 
+# fixed values: column names of the input files
 ANNUAL_SCHEMA = "Year INT, Petrolina DOUBLE, Juazeiro DOUBLE, GLDAS2_0 DOUBLE, GLDAS2_1 DOUBLE"
 MONTHLY_SCHEMA = (
     "Year INT, Month STRING, Petrolina DOUBLE, Juazeiro DOUBLE, GLDAS2_0 DOUBLE, GLDAS2_1 DOUBLE"
@@ -22,33 +23,44 @@ SCENARIO_FILE = r"([^/]+?)(?:\.[A-Za-z0-9]+)?$"
 def read_wide_series(spark: SparkSession, path: str, schema: str = ANNUAL_SCHEMA) -> DataFrame:
     """CSV with a header and one column per source; ``NA`` and empty fields are NULL.
 
-    Column order in the file is free: fields are matched to the schema by name.
+    Column order is free, as fields are matched to the schema by name, but several files must agree on
+    it: a header that differs from the first one raises an error.
     """
     wanted = T.StructType.fromDDL(schema)
-    raw = spark.read.csv(path, header=True, nullValue="NA")
+    raw = spark.read.csv(path, header=True, nullValue="NA", enforceSchema=False)
     return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted.fields])
 
 
 def read_schedule(
-    spark: SparkSession, path: str, slots: int = 13, scenario_column: bool = False
+    spark: SparkSession, path: str, slots: int | None = None, scenario_column: bool = False
 ) -> DataFrame:
     """Headerless schedule, one line per scenario and one field per simulated year: ``scen, X1, X2, ...``.
 
     With ``scenario_column`` the first field names the scenario. Without it the line number does, and
     the file is read as one record so that line numbers are well defined; a schedule is a design
-    document with one line per scenario, not data.
+    document with one line per scenario, not data. Blank lines do not count. There are as many columns as
+    the longest line has years; with ``slots``, a longer line raises an error.
     """
-    names = [f"X{i + 1}" for i in range(slots)]
-    if scenario_column:
-        schema = "scen STRING, " + ", ".join(f"{n} INT" for n in names)
-        return spark.read.csv(path, header=False, schema=schema)
     text = spark.read.text(path, wholetext=True)
-    lines = text.select(F.posexplode(F.split("value", r"\s*\n\s*")).alias("_row", "_line"))
-    lines = lines.where(F.col("_line") != "")  # after the last line break
-    scen = F.concat(F.lit("scen_"), F.lpad((F.col("_row") + 1).cast("string"), 2, "0"))
-    fields = F.split("_line", r"\s*,\s*")
-    return lines.select(
-        scen.alias("scen"), *[F.get(fields, i).cast("int").alias(n) for i, n in enumerate(names)]
+    filled = F.filter(F.split("value", r"\s*\n\s*"), lambda line: F.trim(line) != "")
+    lines = text.select(F.posexplode(filled).alias("_row", "_line"))
+    fields = F.split(F.trim("_line"), r"\s*,\s*")
+    number = F.concat(F.lit("scen_"), F.lpad((F.col("_row") + 1).cast("string"), 2, "0"))
+    if scenario_column:
+        rows = lines.select(F.get(fields, 0).alias("scen"), F.slice(fields, 2, F.size(fields)).alias("_f"))
+    else:
+        rows = lines.select(number.alias("scen"), fields.alias("_f"))
+    longest = rows.agg(F.max(F.size("_f"))).first()[0] or 0
+    if slots is not None and longest > slots:
+        raise ValueError(f"a line has {longest} years, more than {slots}")
+    years = [F.get("_f", i) for i in range(longest if slots is None else slots)]
+    missing = F.array(F.lit(""), F.lit("NA"))
+    return rows.select(
+        "scen",
+        *[
+            F.when(~F.array_contains(missing, y), y).cast("int").alias(f"X{i + 1}")
+            for i, y in enumerate(years)
+        ],
     )
 
 
@@ -78,9 +90,29 @@ def grid_years(files: DataFrame) -> DataFrame:
     return files.select("scenario", F.year("ts").alias("year")).distinct()
 
 
-def read_panel(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet table with NaN read as NULL in its double columns."""
-    df = spark.read.parquet(path)
+# fixed values: columns of the yearly panel; tables written with fewer columns read NULL for the others
+PANEL_SCHEMA = (
+    "scenario STRING, x INT, y INT, time DATE, precip DOUBLE, gpp DOUBLE, scen_code STRING, "
+    "drought_intensity STRING, recovery_intensity STRING, drought_duration INT, lat DOUBLE, lon DOUBLE, "
+    "id BIGINT, soil_type INT, veg_type INT"
+)
+
+
+def read_panel(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Parquet table with NaN read as NULL in its double columns.
+
+    ``schema`` (for instance ``PANEL_SCHEMA``) fixes names and types. Without it they come from the
+    files, but a ``scenario`` that is a folder name is always text, also where all folders are numbers.
+    """
+    reader = spark.read
+    if schema is None:
+        found = reader.parquet(path).schema
+        fields = [
+            T.StructField(f.name, T.StringType()) if f.name == "scenario" else f for f in found.fields
+        ]
+        df = reader.schema(T.StructType(fields)).parquet(path)
+    else:
+        df = reader.schema(schema).parquet(path)
     doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
     return df.withColumns({c: nan_to_null(F.col(c)) for c in doubles}) if doubles else df
 

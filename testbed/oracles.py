@@ -150,29 +150,25 @@ def _random(*parts: str) -> str:
 
 
 def _resample(src: str, strata: str, order: str, n: int, reps: int) -> str:
-    """Table expressions ``numbered`` (rows with positions) and ``taken`` (positions in drawing order).
+    """Table expressions ``numbered`` (rows with positions) and ``taken`` (positions of each replicate).
 
-    Strata of up to 8 n rows are put in random order; larger ones are drawn from with replacement,
-    repeats skipped.
+    Step ``j`` draws a number up to ``j`` and takes it, or ``j`` if the number was taken before.
     """
-    draws = n + n // 4 + 64
-    top = max(8 * n, draws + n) - 1
     return f"""numbered AS (
               SELECT *, row_number() OVER (PARTITION BY {strata} ORDER BY {order}) - 1 AS pos,
                      count(*) OVER (PARTITION BY {strata}) AS size FROM {src}),
             tried AS (
-              SELECT z.*, CAST(k AS INTEGER) AS sample_id, j, {_random('2021', 'k', strata, 'j')} AS bits
+              SELECT z.*, CAST(k AS INTEGER) AS sample_id, j, {_random('2021', 'k', strata, 'j')} % (j + 1) AS t
               FROM (SELECT DISTINCT {strata}, size FROM numbered) z
-              CROSS JOIN generate_series(1, {reps}) a(k) CROSS JOIN generate_series(0, {top}) b(j)
-              WHERE j < CASE WHEN size <= {8 * n} THEN size ELSE {draws + n} END),
-            turns AS (
-              SELECT {strata}, sample_id,
-                     CASE WHEN size <= {8 * n} THEN j WHEN j < {draws} THEN bits % size
-                          ELSE j - {draws} END AS pos,
-                     CASE WHEN size <= {8 * n} THEN bits ELSE j END AS turn FROM tried),
+              CROSS JOIN generate_series(1, {reps}) a(k)
+              CROSS JOIN LATERAL (SELECT unnest(range(size - least(size, {n}), size)) AS j) b),
+            listed AS (
+              SELECT {strata}, sample_id, list([j, t] ORDER BY j) AS steps FROM tried GROUP BY ALL),
             taken AS (
-              SELECT *, row_number() OVER (PARTITION BY {strata}, sample_id ORDER BY turn, pos) AS r
-              FROM (SELECT {strata}, sample_id, pos, min(turn) AS turn FROM turns GROUP BY ALL))"""
+              SELECT {strata}, sample_id, unnest(list_reduce(
+                       list_prepend(CAST([] AS BIGINT[]), steps),
+                       lambda s, d: list_append(s, CASE WHEN list_contains(s, d[2]) THEN d[1] ELSE d[2] END)
+                     )) AS pos FROM listed)"""
 
 
 PARTS |= {
@@ -274,7 +270,7 @@ PARTS |= {
         ("wide",),
         f"""WITH {_resample('wide', 'veg_type', 'id, scenario', 10, 20)}
             SELECT numbered.* EXCLUDE (pos, size), taken.sample_id
-            FROM numbered JOIN taken USING (veg_type, pos) WHERE r <= 10""",
+            FROM numbered JOIN taken USING (veg_type, pos)""",
     ),
     "pairs": (("sampled",), _pair_union),
     "cpairs": (("pairs",), "SELECT * FROM pairs WHERE y IS NOT NULL AND x IS NOT NULL"),
@@ -407,15 +403,19 @@ def _density(src: str, by: str, panel: str, value: str) -> str:
 def _line(src: str, by: str) -> str:
     """Least-squares line with its 95 % band for ``src`` (columns px, py) on 80 points."""
     z = 1.959963984540054
+    # tabled 97.5 % points of Student's distribution for 1 to 9 degrees of freedom; fixed values
+    small = [12.7062047364, 4.3026527297, 3.1824463053, 2.7764451052, 2.5705818356, 2.4469118511,
+             2.3646242516, 2.3060041352, 2.2621571628]
     g = (
         (z**3 + z) / 4,
         (5 * z**5 + 16 * z**3 + 3 * z) / 96,
         (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
         (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
     )
-    t = f"(CAST({z!r} AS DOUBLE)" + "".join(
+    series = f"(CAST({z!r} AS DOUBLE)" + "".join(
         f" + CAST({c!r} AS DOUBLE) / pow(n - 2, {k})" for k, c in enumerate(g, start=1)
     ) + ")"
+    t = f"(CASE WHEN n < 12 THEN CAST(({small!r})[CAST(n AS BIGINT) - 2] AS DOUBLE) ELSE {series} END)"
     return f""", s AS (SELECT {by}, regr_slope(py, px) AS b, regr_intercept(py, px) AS a, min(px) AS lo,
                           max(px) AS hi, CAST(count(*) AS DOUBLE) AS n, avg(px) AS mx,
                           regr_sxx(py, px) AS sxx, regr_syy(py, px) AS syy, regr_sxy(py, px) AS sxy
@@ -470,7 +470,7 @@ ORACLES: dict[str, str] = {
     "cell_attributes": sql(
         """, c AS (SELECT * EXCLUDE (id), row_number() OVER (ORDER BY x, y) AS id FROM cells)
            SELECT id, x, y, round(lat, 8) AS lat, round(lon, 8) AS lon, soil_type, veg_type FROM
-             (SELECT id, x, y, lat, lon FROM c)
+             (SELECT id, x, y, lat, lon FROM c WHERE x <> 5)
              FULL JOIN (SELECT id, x, y, soil_type FROM c WHERE x <> 3) USING (id, x, y)
              FULL JOIN (SELECT id, x, y, veg_type FROM c WHERE y % 2 = 0 OR x = 3) USING (id, x, y)""",
         "cells",
@@ -642,7 +642,7 @@ ORACLES: dict[str, str] = {
     "resample_panel": sql(
         f""", {_resample('panel', 'scenario', 'y, x, year', 25, 8)}
         SELECT scenario, x, y, year, round(precip, 8) AS precip, round(gpp, 8) AS gpp, sample_id
-        FROM numbered JOIN taken USING (scenario, pos) WHERE r <= 25""",
+        FROM numbered JOIN taken USING (scenario, pos)""",
         "panel",
     ),
     "sample_rows": sql(

@@ -211,4 +211,4 @@ def coefs(spark: SparkSession, sf: str) -> DataFrame:
 
 def residuals(spark: SparkSession, sf: str) -> DataFrame:
     drawn = keep(sample(spark, sf))
-    return regress.augment(regress.pair_long(drawn, complete=True), regress.fit_sample(drawn))
+    return regress.sample_residuals(drawn, regress.fit_sample(drawn))

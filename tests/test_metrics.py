@@ -213,3 +213,28 @@ def test_cohort_conditions_reach_the_scan(spark, tmp_path):
     spark.conf.unset("spark.sql.maxMetadataStringLength")
     for pushed in ("GreaterThan(impact,0.1)", "EqualTo(soil_type,7)", "LessThanOrEqual(drought_duration,2)"):
         assert pushed in plan
+
+
+def test_long_recoveries_are_refused_or_searched_whole(spark):
+    # recovery of six years reaches 95 % of the baseline in the fifth
+    gpp = [90.0, 100.0, 60.0, 50.0, 60.0, 70.0, 80.0, 97.0, 98.0, 99.0]
+    labelled = design.label_periods(panel(spark, gpp, 1), recovery_len=6)
+    base = metrics.baseline_value(labelled)
+    point = metrics.recovery_point(labelled, base, "threshold").where("variable = 'gpp'").first()
+    assert (point["s_tr"], point["tr"]) == (97.0, 2010)
+    found = metrics.resilience_metrics(labelled, mode="threshold", recovery_len=None)
+    row = found.where("variable = 'gpp'").first()
+    assert (row["s_tr"], row["tr"]) == (97.0, 2010)
+    with pytest.raises(Exception, match="recovery_len"):
+        metrics.resilience_metrics(labelled, mode="threshold").collect()
+
+
+def test_nan_is_missing_in_the_single_operators(spark):
+    nan = float("nan")
+    gpp = [90.0, 100.0, 60.0, 50.0, nan, 96.0, 100.0, 100.0, 100.0, 100.0]
+    labelled = design.label_periods(panel(spark, gpp))
+    base = metrics.baseline_value(labelled)
+    point = metrics.recovery_point(labelled, base, "threshold").where("variable = 'gpp'").first()
+    row = gpp_row(spark, gpp, mode="threshold")
+    assert (point["s_tr"], point["tr"]) == (row["s_tr"], row["tr"]) == (96.0, 2008)
+    assert metrics.stability(labelled).where("variable = 'gpp'").first()["stability"] is None

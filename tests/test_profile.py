@@ -118,3 +118,11 @@ def test_line_and_band(spark):
     clipped = profile.smooth_line(df, "x", "y", ["g"], {"x": (0.2, 0.8)}, points=2).collect()
     kept = x[(x >= 0.2) & (x <= 0.8)]
     assert sorted(r["x"] for r in clipped) == pytest.approx([kept.min(), kept.max()])
+
+
+def test_student_quantiles(spark):
+    # tabled values; fixed
+    tabled = {1: 12.7062, 2: 4.30265, 3: 3.18245, 5: 2.57058, 9: 2.26216, 10: 2.22814, 30: 2.04227, 120: 1.97993}
+    df = spark.createDataFrame([(float(k),) for k in tabled], "df double")
+    got = {r["df"]: r["t"] for r in df.select("df", profile._t_quantile(profile.Z_95, F.col("df")).alias("t")).collect()}
+    assert all(abs(got[k] - t) < 3e-5 for k, t in tabled.items())

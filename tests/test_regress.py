@@ -132,3 +132,17 @@ def test_coefficient_rows_and_ratios(spark):
     zero = sampled(spark, [(1, "a", 1.0, 0.0), (1, "a", 1.0, 2.0)])
     assert regress.ratio_median(zero).first()["median"] == 0.5
     assert regress.ratio_median(zero, on_zero="ieee").first()["median"] == float("inf")
+
+
+def test_residuals_of_rows_equal_those_of_pairs(spark):
+    columns = sorted({c for p in regress.PAIRS for c in p})
+    rows = [
+        [i, "s", i % 2, "g", *[None if (i + j) % 7 == 0 else float((i * (j + 3)) % 11) for j in range(len(columns))]]
+        for i in range(40)
+    ]
+    df = spark.createDataFrame(rows, "id long, scenario string, sample_id int, veg_type string, " + ", ".join(f"{c} double" for c in columns))
+    fits = regress.fit_sample(df)
+    direct, long = regress.sample_residuals(df, fits), regress.augment(regress.pair_long(df, complete=True), fits)
+    names = ["id", "scenario", "sample_id", "veg_type", "formula", "y", "x", "fitted", "resid"]
+    key = lambda d: sorted(tuple(r[n] for n in names) for r in d.collect())
+    assert key(direct) == key(long)

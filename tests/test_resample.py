@@ -29,6 +29,26 @@ def test_sizes_and_no_repeats(spark, method):
             assert set(ids) <= set(range(size))
 
 
+def test_null_strata_are_strata(spark):
+    rows = [(None, i) for i in range(5)] + [("a", i) for i in range(4)] + [("a", None)]
+    df = spark.createDataFrame(rows, "g string, id int")
+    got = draw(df, 50, 2).collect()
+    assert len(got) == 2 * len(rows)
+    assert sum(r["g"] is None for r in got) == 10
+
+
+def test_draws_are_not_broadcast(spark):
+    df = spark.range(400_000).select((F.col("id") % 4).alias("g"), F.col("id"))
+    drawn = resample.resample(df, "g", 500, 400, F.floor(F.col("id") / 1024), ["id"])
+    assert drawn.agg(F.count("id")).first()[0] == 800_000
+    query = drawn._jdf.queryExecution()
+    drawn._jdf.queryExecution().executedPlan().execute().count()
+    final = query.executedPlan().toString().split("Initial Plan")[0]
+    above = final[: final.index("aggregate(sequence")] if "aggregate(sequence" in final else final
+    assert "SortMergeJoin" in final
+    assert "BroadcastHashJoin" not in above.split("SortMergeJoin")[0]
+
+
 def test_same_seed_same_rows_other_seed_other_rows(spark):
     df = strata(spark, SIZES)
 

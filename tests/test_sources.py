@@ -29,6 +29,32 @@ def test_schedule(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("a", 3, 4), ("b", 1, 2)]
 
 
+def test_schedule_takes_every_year_and_counts_filled_lines(spark, tmp_path):
+    f = tmp_path / "long.csv"
+    f.write_text("\n\n" + ",".join(str(2000 + i) for i in range(15)) + "\n\n1,2,NA\n")
+    rows = tables.read_schedule(spark, str(f)).orderBy("scen").collect()
+    assert [r["scen"] for r in rows] == ["scen_01", "scen_02"]
+    assert rows[0]["X15"] == 2014 and rows[1]["X2"] == 2 and rows[1]["X3"] is None and rows[1]["X15"] is None
+    with pytest.raises(ValueError):
+        tables.read_schedule(spark, str(f), slots=13)
+
+
+def test_wide_series_with_differing_headers_is_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Year,Petrolina,Juazeiro,GLDAS2_0,GLDAS2_1\n1980,1,2,3,4\n" * 1)
+    (tmp_path / "b.csv").write_text("Year,Juazeiro,Petrolina,GLDAS2_0,GLDAS2_1\n1981,2,1,3,4\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        tables.read_wide_series(spark, str(tmp_path)).collect()
+
+
+def test_scenario_folders_of_numbers_are_text(spark, tmp_path):
+    df = spark.createDataFrame([("01", 1.0), ("02", 2.0)], "scenario string, gpp double")
+    path = str(tmp_path / "numbers")
+    tables.write_by_scenario(df, path)
+    assert {r["scenario"] for r in tables.read_panel(spark, path).collect()} == {"01", "02"}
+    full = tables.read_panel(spark, path, tables.PANEL_SCHEMA)
+    assert {r["scenario"] for r in full.collect()} == {"01", "02"} and "veg_type" in full.columns
+
+
 def test_grid_files(spark, tmp_path):
     for scen, stamp in (("scen_01", "2003010100"), ("scen_01", "2004013112"), ("scen_02", "2003010106")):
         df = spark.createDataFrame([([1.0, 2.0], [3.0, 4.0], 5)], "GPP array<double>, RAINRATE array<double>, other int")
