@@ -282,7 +282,8 @@ def _classes(docs: DataFrame, key: str, text: str, size: int, num: int, den: int
     known = entries.join(_shared(entries.select("_h")), "_h").groupBy("_set").agg(F.count(F.lit(1)).alias("_known"))
     enough = F.col("_known") >= _extra(_least_partner(F.col("_f_n"), num, den), FIRST)
     alive = first.join(known, "_set").where(enough)
-    texts = _texts(docs, key, text).join(alive, one).withColumnsRenamed({f"_f{c}": c for c in same})
+    # the sets left grow with the input, so they are never broadcast
+    texts = _texts(docs, key, text).hint("merge").join(alive, one).withColumnsRenamed({f"_f{c}": c for c in same})
     comps = _components(keep(_whole_sets(texts, size)), num, den)
 
     named = sets.join(comps, sets["_set"] == comps["node"], "left")

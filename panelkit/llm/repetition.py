@@ -68,6 +68,8 @@ def _sum(texts: Texts, amount: np.ndarray) -> np.ndarray:
 
 def _lines(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and document of every line that has a word."""
+    if not len(texts.starts):
+        return (np.zeros(0, np.int64),) * 3
     cuts = np.flatnonzero(texts.buf == _NEWLINE)
     starts = np.union1d(cuts + 1, texts.offsets[:-1])
     starts = starts[starts < len(texts.buf)]
