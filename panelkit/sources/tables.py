@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,9 +69,9 @@ def scenario_from_path(df: DataFrame) -> DataFrame:
     return df.select("*", F.regexp_extract("_metadata.file_path", SCENARIO_FILE, 1).alias("scenario"))
 
 
-def grid_file_keys(df: DataFrame) -> DataFrame:
+def grid_file_keys(df: DataFrame, path: Column | None = None) -> DataFrame:
     """Add ``scenario`` and ``ts`` from files named ``<scenario>/<YYYYMMDDHH>.<anything>``."""
-    path = F.col("_metadata.file_path")
+    path = F.col("_metadata.file_path") if path is None else path
     stamp = F.regexp_extract(path, GRID_FILE, 2)
     return df.select(
         "*",

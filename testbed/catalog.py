@@ -11,6 +11,7 @@ from panelkit.functions.labels import WIDE_METRICS
 from panelkit.operators import classify, design, metrics, profile, quantiles, regress, resample
 from panelkit.operators import reshape, rollup
 from panelkit.session import keep
+from panelkit.sources.tables import grid_file_keys, grid_years
 from testbed import views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -355,7 +356,44 @@ def ratio_median(spark, sf):
     return rounded(regress.ratio_median(v.sample(spark, sf)))
 
 
+def yearly_missing(spark, sf):
+    """A limit below most monthly sums, so that many years have no value left and become 0."""
+    daily = v.observations(spark, sf)
+    return rounded(rollup.yearly_panel(daily, ["scenario", "x", "y"], ["precip", "gpp"], {"gpp": 20.0}))
+
+
+def nested_panel(spark, sf):
+    """Yearly values of each cell packed into one row and unpacked again."""
+    packed = reshape.nest(v.panel(spark, sf), ["scenario", "x", "y"], "years", ["year", "precip", "gpp"])
+    return rounded(reshape.unnest(packed, "years"))
+
+
+def station_sources(spark, sf):
+    """Sums of the sources whose name does not contain the mark of gridded products."""
+    rows = v.table(spark, sf, "events").where(classify.is_station("event_type", "c"))
+    return rounded(rows.groupBy("event_type").agg(F.sum("value").alias("value")))
+
+
+def grid_file_years(spark, sf):
+    """Scenario and years of the grid files that events would have been written to."""
+    name = F.date_format("ts", "yyyyMMddHH")
+    path = F.concat(F.lit("file:/grids/scen_"), (F.col("user_id") % 49).cast("string"), F.lit("/"), name, F.lit(".grid"))
+    files = v.table(spark, sf, "events").select(path.alias("path"))
+    return grid_years(grid_file_keys(files, F.col("path")))
+
+
+def ecdf_prices(spark, sf):
+    """Share of line items that are not dearer, for every distinct price."""
+    lines = v.table(spark, sf, "lineitem").select(F.col("l_extendedprice").alias("price"))
+    return rounded(quantiles.cumulative_share(lines.distinct(), "price", lines, "price", "share"))
+
+
 QUERIES: dict[str, Query] = {
+    "yearly_missing": yearly_missing,
+    "nested_panel": nested_panel,
+    "station_sources": station_sources,
+    "grid_file_years": grid_file_years,
+    "ecdf_prices": ecdf_prices,
     "period_labels": period_labels,
     "baseline": baseline,
     "impact_min": impact_min,

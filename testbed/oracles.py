@@ -434,6 +434,21 @@ _summary = """SELECT variable, count(value) AS n, min(value) AS min, avg(value)
               FROM wide_long WHERE value IS NOT NULL GROUP BY variable"""
 
 ORACLES: dict[str, str] = {
+    "yearly_missing": sql(
+        """SELECT scenario, x, y, CAST(date_trunc('year', time) AS DATE) AS time,
+                  round(coalesce(sum(precip), 0), 8) AS precip,
+                  round(coalesce(sum(CASE WHEN abs(gpp) > 20 THEN NULL ELSE gpp END), 0), 8) AS gpp
+           FROM (SELECT scenario, x, y, date_trunc('month', ts) AS time,
+                        sum(precip) AS precip, sum(gpp) AS gpp FROM obs GROUP BY ALL) GROUP BY ALL""",
+        "obs",
+    ),
+    "nested_panel": sql(f"SELECT scenario, x, y, year, {r('precip gpp')} FROM panel", "panel"),
+    "station_sources": """SELECT event_type, round(sum(value), 8) AS value FROM events
+        WHERE event_type NOT LIKE '%c%' GROUP BY event_type""",
+    "grid_file_years": """SELECT DISTINCT 'scen_' || CAST(user_id % 49 AS VARCHAR) AS scenario,
+        CAST(year(ts) AS INTEGER) AS year FROM events""",
+    "ecdf_prices": """SELECT l_extendedprice AS price, round(max(n) / (SELECT count(*) FROM lineitem), 8) AS share
+        FROM (SELECT l_extendedprice, count(*) OVER (ORDER BY l_extendedprice) AS n FROM lineitem) GROUP BY ALL""",
     "period_labels": sql("SELECT scenario, x, y, year, period, CAST(phase_year AS INTEGER) AS phase_year FROM labelled", "labelled"),
     "baseline": sql(f"SELECT scenario, x, y, variable, {r('s_to')} FROM k_base", "k_base"),
     "impact_min": sql(f"SELECT scenario, x, y, variable, {r('s_ti1')}, ti1 FROM k_min", "k_min"),
