@@ -201,6 +201,23 @@ def sample(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def study_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as complete metric rows in four strata, enough of them for the study's sample sizes."""
+    lines = table(spark, sf, "lineitem")
+    columns = sorted({c for p in regress.PAIRS for c in p})
+    measures = ("l_discount", "l_tax", "l_quantity", "l_extendedprice")
+    values = {
+        c: F.col(measures[i % 4]) / (1 + i) + F.pmod(F.xxhash64(F.lit(i), "l_orderkey", "l_linenumber"), F.lit(1000)) / 1000
+        for i, c in enumerate(columns)
+    }
+    return lines.select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"),
+        F.col("l_returnflag").alias("scenario"),
+        (7 + F.col("l_suppkey") % 4).cast("string").alias("veg_type"),
+        *[v.alias(c) for c, v in values.items()],
+    )
+
+
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
     return regress.pair_long(sample(spark, sf), complete=True)
 
