@@ -152,8 +152,10 @@ def _named(windows: DataFrame, level: DataFrame, step: int) -> DataFrame:
 def _later_copies(named: DataFrame) -> DataFrame:
     """Stretches that are not the first of their name: ``_d, _x, _i, _len``."""
     where = F.struct(*_LINE)
+    named = keep(named)
     first = named.groupBy("_len", "_a", "_b").agg(F.min(where).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    joined = named.join(first.where("_n > 1"), ["_len", "_a", "_b"])
+    # both sides are stored tables, so adaptive execution can split the name that very many share
+    joined = named.join(keep(first.where("_n > 1")), ["_len", "_a", "_b"])
     return joined.where(~where.eqNullSafe(F.col("_first"))).select(*_LINE, "_len")
 
 

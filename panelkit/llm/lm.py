@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm.tokens import WordTokenizer
+from panelkit.llm.tokens import WordTokenizer, word_tokenizer
 from panelkit.session import keep
 
 # Text that one task holds at a time; a longer document is a block of its own.
@@ -92,7 +92,7 @@ def lm_scores(
     )
 
     def explode(table: pa.Table) -> pa.Table:
-        words = WordTokenizer(tokenizer)
+        words = word_tokenizer(tokenizer)
         arrays = list(_token_arrays(words, table.column("_text")))
         grams, counts = _count([_grams(ids, k) for ids in arrays for k in range(1, order + 1)])
         block = np.full(len(grams), table.column("_block")[0].as_py())
@@ -106,7 +106,7 @@ def lm_scores(
     answers = own.select("_block", "_gram").join(counts, "_gram")
 
     def score(texts: pa.Table, known: pa.Table) -> pa.Table:
-        words = WordTokenizer(tokenizer)
+        words = word_tokenizer(tokenizer)
         grams = np.asarray(known.column("_gram").combine_chunks()).view(np.uint64)
         by_gram = np.argsort(grams)
         grams = grams[by_gram]

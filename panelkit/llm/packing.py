@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.llm.prefix import running_totals
-from panelkit.llm.tokens import WordTokenizer
+from panelkit.llm.tokens import word_tokenizer
 from panelkit.session import discard, keep
 
 CAPACITY = 4096
@@ -37,7 +37,7 @@ def token_pieces(
     names = ["_id", *[n for n, _ in fields], *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(tokenizer)
+        words = word_tokenizer(tokenizer)
         pid = TaskContext.get().partitionId() << 33
 
         def cut(keys: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
@@ -136,11 +136,14 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     bins: DataFrame | None = None
     for number, (lo, hi) in enumerate(_bands(capacity), 1):
         docs = pieces.where((F.col("length") > lo) & (F.col("length") <= hi)).select("_pid", "length")
+        first = True
         while True:
             waiting = docs.agg(F.count(F.lit(1)).alias("n"), F.min("length").alias("least")).first()
             if not waiting["n"] or bins is None:
                 break
-            room = bins.where(F.col("gap") >= waiting["least"])
+            # a document without a partner found all larger gaps taken, so only those can hold it now
+            room = bins.where((F.col("gap") >= waiting["least"]) & (F.lit(first) | F.col("taken")))
+            first = False
             n = room.count()
             if not n:
                 break
@@ -151,13 +154,12 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             bins, old = keep(_shrink(bins, taken)), bins
             discard(old)
             docs = matched.where("bin IS NULL").select("_pid", "length")
-            if hits.isEmpty():
-                break
         if waiting["n"]:
             each = docs.withColumn("_k", F.floor(F.lit(capacity) / F.col("length"))).withColumn("_one", F.lit(1))
             opened = keep(_open(each, number, capacity))
             placed.append(opened)
-            new = opened.groupBy("bin").agg((F.lit(capacity) - F.sum("length")).cast("bigint").alias("gap")).where("gap > 0")
+            new = opened.groupBy("bin").agg((F.lit(capacity) - F.sum("length")).cast("bigint").alias("gap"))
+            new = new.where("gap > 0").withColumn("taken", F.lit(False))
             bins = keep(new if bins is None else bins.unionByName(new))
     out = placed[0]
     for more in placed[1:]:
@@ -196,7 +198,8 @@ def _open(each: DataFrame, number: int, capacity: int) -> DataFrame:
 
 def _shrink(bins: DataFrame, taken: DataFrame) -> DataFrame:
     left = F.col("gap") - F.coalesce(F.col("_sum"), F.lit(0))
-    return bins.join(taken, "bin", "left").select("bin", left.alias("gap")).where("gap > 0")
+    joined = bins.join(taken, "bin", "left")
+    return joined.select("bin", left.alias("gap"), F.col("_sum").isNotNull().alias("taken")).where("gap > 0")
 
 
 def pack_documents(
