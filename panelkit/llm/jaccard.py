@@ -25,8 +25,8 @@ from panelkit.session import keep
 BLOCK = 256
 # Sets of small clusters that are handed to Python together.
 GROUP = 256
-# Shares of a set's members that the two looks for shared members take beyond those a partner may lack.
-FIRST, SECOND = 0.05, 0.35
+# Share of a set's members that the first look takes beyond those a partner may lack.
+FIRST = 0.05
 
 _SIGN = np.uint64(1 << 63)
 
@@ -199,19 +199,18 @@ def _blocks(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
 def _candidates(whole: DataFrame, num: int, den: int) -> DataFrame:
     """Clusters ``_set, _cluster``: linked sets are always in the same one.
 
-    Sets show their members up to the second look, and members are ordered by how many sets show them,
-    rarest first. Linked sets show at least ``_extra`` of the smaller set's size in common, so leaving
-    out one less than that of a set's last members keeps one in common. Members that only one set shows
-    are nobody's partner and no index entries. Each list joins its sets to its smallest one.
+    Members are ordered by how many sets hold them, rarest first. A linked set has at least
+    ``_least_partner`` of a set's members, so leaving out one less than that of its last members keeps
+    one in common. Members that only one set holds are nobody's partner and no index entries, and a set
+    with too few others has no partner at all. Each list joins its sets to its smallest one.
     """
     n = F.col("_n")
-    shown = F.slice("_tokens", F.lit(1), _look(n, SECOND, num, den).cast("int"))
-    entries = whole.select("_set", "_n", F.explode(shown).alias("_h"))
+    entries = whole.select("_set", "_n", F.explode("_tokens").alias("_h"))
     known = entries.join(_shared(entries.select("_h")), "_h")
     per_set = known.groupBy("_set", "_n").agg(
         F.sort_array(F.collect_list(F.struct("_df", "_h"))).alias("_known")
     )
-    room = F.size("_known") - _extra(_least_partner(n, num, den), SECOND) + 1
+    room = F.size("_known") - _least_partner(n, num, den) + 1
     first = F.slice("_known", F.lit(1), room.cast("int"))
     keys = keep(per_set.where(room > 0).select("_set", F.explode(first["_h"]).alias("_h")))
     least = keys.groupBy("_h").agg(F.min("_set").alias("_least"), F.max("_set").alias("_most")).where("_least < _most")
