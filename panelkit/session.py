@@ -68,6 +68,15 @@ def discard(*kept: DataFrame) -> None:
                 _hadoop(df.sparkSession, path, lambda fs, p: fs.delete(p, True))
 
 
+def release(spark: SparkSession) -> None:
+    """Have shuffle files of finished steps removed now.
+
+    Spark removes them when the driver collects the plans that made them, which a quiet driver may not do
+    for long; a step that writes much calls this when its plans are out of use.
+    """
+    spark._jvm.System.gc()
+
+
 def _hadoop(spark: SparkSession, path: str, act) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     act(p.getFileSystem(spark._jsc.hadoopConfiguration()), p)
