@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from panelkit.llm.components import connected_components
 from panelkit.llm.prefix import running_totals
 from panelkit.llm.words import Texts, chunks, combine, mix, windows
-from panelkit.session import keep
+from panelkit.session import discard, keep, release
 
 # Sets that a task compares with each other; larger clusters are cut into blocks of so many.
 BLOCK = 256
@@ -267,28 +267,41 @@ def _classes(docs: DataFrame, key: str, text: str, size: int, num: int, den: int
     """Rows ``_id, _x, _d1, _d2, _n``, and of each set ``_d1, _d2, _n, _least``, its component's first row."""
     heads = keep(_heads(docs, key, text, size, num, den))
     same = ["_d1", "_d2", "_n"]
-    sets = heads.where("_n > 0").groupBy(*same).agg(
+    rows = keep(heads.select("_id", "_x", *same))
+    sets = rows.where("_n > 0").groupBy(*same).agg(
         F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_x")).alias("_least")
     )
     sets = keep(sets.withColumn("_set", F.monotonically_increasing_id()))
-    first = sets.select("_set", *[F.col(c).alias(f"_f{c}") for c in same], "_least._id", "_least._x")
-    first = first.withColumnsRenamed({"_id": "_f_id", "_x": "_f_x"})
-    one = (F.col("_x") == F.col("_f_x")) & F.col("_id").eqNullSafe(F.col("_f_id"))
-
-    # sets whose first members hardly occur elsewhere are linked with nothing
-    own = heads.join(first, one & (F.col("_n") == F.col("_f_n")) & (F.col("_d1") == F.col("_f_d1")))
-    entries = own.select("_set", F.explode("_head").alias("_h"))
-    known = entries.join(_shared(entries.select("_h")), "_h").groupBy("_set").agg(F.count(F.lit(1)).alias("_known"))
-    enough = F.col("_known") >= _extra(_least_partner(F.col("_f_n"), num, den), FIRST)
-    alive = first.join(known, "_set").where(enough)
-    # the sets left grow with the input, so they are never broadcast
-    texts = _texts(docs, key, text).hint("merge").join(alive, one).withColumnsRenamed({f"_f{c}": c for c in same})
-    comps = _components(keep(_whole_sets(texts, size)), num, den)
+    whole = _alive(docs, heads, sets, key, text, size, num, den)
+    # what the first look wrote and shuffled is not needed any more
+    discard(heads)
+    release(docs.sparkSession)
+    comps = _components(whole, num, den)
 
     named = sets.join(comps, sets["_set"] == comps["node"], "left")
     named = keep(named.select(*same, "_least", F.coalesce("comp", "_set").alias("_comp")))
     least = named.groupBy("_comp").agg(F.min("_least").alias("_least"))
-    return heads.select("_id", "_x", *same), named.drop("_least").join(least, "_comp").select(*same, "_least")
+    return rows, named.drop("_least").join(least, "_comp").select(*same, "_least")
+
+
+def _alive(
+    docs: DataFrame, heads: DataFrame, sets: DataFrame, key: str, text: str, size: int, num: int, den: int
+) -> DataFrame:
+    """The whole sets of which enough of the first members occur elsewhere; the others have no links.
+
+    Copies of a set count as occurrences elsewhere, which lets their set through and harms nothing.
+    """
+    entries = heads.select("_d1", F.explode("_head").alias("_h"))
+    known = entries.join(_shared(entries.select("_h")), "_h")
+    known = known.groupBy(F.col("_d1").alias("_k1")).agg(F.count(F.lit(1)).alias("_known"))
+    first = sets.select("_set", *[F.col(c).alias(f"_f{c}") for c in ("_d1", "_d2", "_n")], "_least._id", "_least._x")
+    first = first.withColumnsRenamed({"_id": "_f_id", "_x": "_f_x"})
+    enough = F.col("_known") >= _extra(_least_partner(F.col("_f_n"), num, den), FIRST)
+    alive = first.join(known, F.col("_f_d1") == F.col("_k1")).where(enough)
+    # the sets left grow with the input, so they are never broadcast
+    one = (F.col("_x") == F.col("_f_x")) & F.col("_id").eqNullSafe(F.col("_f_id"))
+    texts = _texts(docs, key, text).hint("merge").join(alive, one)
+    return keep(_whole_sets(texts.withColumnsRenamed({f"_f{c}": c for c in ("_d1", "_d2", "_n")}), size))
 
 
 def jaccard_components(
