@@ -18,64 +18,102 @@ BLOCK_BYTES = 8 << 20
 # Texts given to the tokenizer at a time.
 STEP = 256
 
-_BITS = np.uint64(16)
-
+# Parts of the range of keys that are counted one by one, at least; with more blocks there are more.
+PARTS = 2048
 
-def _grams(ids: np.ndarray, n: int) -> np.ndarray:
-    """Key of the n-gram that ends at each token from the n-th on; keys of all lengths differ."""
-    key = np.zeros(max(0, len(ids) - n + 1), np.uint64)
-    for k in range(n):
-        key = (key << _BITS) | (ids[k : k + len(key)] + np.uint64(1))
-    return key
+_BITS = np.uint64(16)
+_KEY = np.uint64((1 << 48) - 1)
 
 
 def _token_arrays(words: WordTokenizer, column: pa.ChunkedArray) -> Iterator[np.ndarray]:
     values = column.to_pylist()
     for i in range(0, len(values), STEP):
         for ids in words.encode([(v or "").encode() for v in values[i : i + STEP]]):
-            yield np.frombuffer(ids, "<u4").astype(np.uint64)
+            yield np.frombuffer(ids, "<u4")
 
 
-def _count(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    values, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]), return_counts=True)
-    return values.view(np.int64), counts
+def _spread(keys: np.ndarray) -> None:
+    """Permute the 48-bit keys, in place, so that they fill their range evenly."""
+    for row in keys:
+        row *= np.uint64(0x9E3779B97F4B)
+        row &= _KEY
+        row ^= row >> np.uint64(24)
+        row *= np.uint64(0xD1B54A32D193)
+        row &= _KEY
 
 
-def backoff_scores(ids: np.ndarray, find, order: int, alpha: float, min_count: int, total: int) -> tuple[float, int]:
-    """Sum of the log scores of a document's tokens, and how many of them backed off.
+def _grams(ids: np.ndarray, place: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the n-grams of a block that end at each token, a row per length; and which of them exist.
 
-    ``find`` gives the counts of keys, 0 for unknown ones. A token is scored by the longest n-gram that
-    ends in it, of at most ``order`` tokens, whose count reaches ``min_count``: its count divided by that
-    of its context, times ``alpha`` for each shorter step taken. The last resort is the token's share of
-    the corpus.
+    ``place`` is the token's place in its document. Keys of all lengths differ.
+    """
+    keys = np.zeros((order, len(ids)), np.uint64)
+    keys[0] = ids
+    keys[0] += np.uint64(1)
+    for n in range(1, order):
+        keys[n, n:] = (keys[n - 1, n - 1 : -1] << _BITS) | keys[0, n:]
+    _spread(keys)
+    return keys, place >= np.arange(order)[:, None]
+
+
+def _block_grams(words: WordTokenizer, column: pa.ChunkedArray, order: int) -> tuple[np.ndarray, ...]:
+    """Tokens per document, their places, and the keys of :func:`_grams`, of one block."""
+    arrays = list(_token_arrays(words, column))
+    sizes = np.array([len(ids) for ids in arrays], np.int64)
+    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return sizes, place, *_grams(np.concatenate([np.zeros(0, np.uint32), *arrays]), place, order)
+
+
+def _numbers(keys: np.ndarray) -> np.ndarray:
+    """Place of each key among the distinct ones; as from ``np.unique``, with less memory at a time."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.zeros(len(keys), np.int32)
+    new[1:] = keys[1:] != keys[:-1]
+    del keys
+    out = np.empty(len(new), np.int32)
+    out[order] = np.cumsum(new, out=new)
+    return out
+
+
+def _first(part: int, parts: int) -> np.uint64:
+    """Smallest key of a part."""
+    return np.uint64(-(-(part << 32) // parts) << 16)
+
+
+def backoff_scores(place: np.ndarray, counts: np.ndarray, alpha: float, min_count: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log score of each token, and whether it backed off.
+
+    ``counts`` has a row per length with the count of the n-gram that ends at each token, 0 where the
+    document is too short. A token is scored by the longest of them whose count reaches ``min_count``:
+    its count divided by that of its context, times ``alpha`` for each shorter step taken. The last
+    resort is the token's share of the corpus.
     """
-    n = len(ids)
-    counts = [find(_grams(ids, k)) for k in range(1, min(order, n) + 1)]
     score = np.log(np.maximum(counts[0], 1) / max(total, 1))
-    reach = np.minimum(np.arange(n), order - 1)  # tokens of context at hand
-    used = np.zeros(n, np.int64)
-    for k in range(2, len(counts) + 1):
-        at = np.arange(k - 1, n)
-        good = counts[k - 1] >= max(min_count, 1)
-        context = counts[k - 2][: len(at)]
-        value = np.log(np.where(good, counts[k - 1], 1) / np.maximum(context, 1))
-        score[at[good]] = value[good]
-        used[at[good]] = k - 1
-    return float((score + (reach - used) * math.log(alpha)).sum()), int((used < reach).sum())
+    reach = np.minimum(place, len(counts) - 1)  # tokens of context at hand
+    used = np.zeros(len(place), np.int64)
+    for k in range(1, len(counts)):
+        at = np.flatnonzero(counts[k] >= max(min_count, 1))
+        score[at] = np.log(counts[k, at] / np.maximum(counts[k - 1, at - 1], 1))
+        used[at] = k
+    return score + (reach - used) * math.log(alpha), used < reach
 
 
 def lm_scores(
     docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
-    order: int = 2, alpha: float = 0.4, min_count: int = 2, block_bytes: int = BLOCK_BYTES,
+    order: int = 3, alpha: float = 0.4, min_count: int = 2, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Score of every document: ``key, n_tokens, n_backoff, log_score, mean_log_score``.
 
     The counts come from all documents. Documents are dealt to blocks by a hash; each block's n-grams are
-    exploded and combined to one row per block and n-gram. Summed over blocks, in partitions by the
-    n-gram's hash, these are the count tables; joined back on the n-gram, they give each block the counts
-    of its own n-grams, and the block sums the log scores (:func:`backoff_scores`) of its documents. An
-    n-gram has one row per block at most, so none is hot, and a block's tables follow from its size.
-    N-grams below ``min_count`` are left out of the tables, single tokens never are.
+    combined to one entry per block and n-gram, sorted by a spread key and cut into parts of the range of
+    keys. A part of all blocks is summed in one place and each block gets back the counts of its own
+    n-grams, in their order; from them the block sums the log scores (:func:`backoff_scores`) of its
+    documents. An n-gram has one entry per block at most, so none is hot; parts are even, their number
+    follows that of the blocks, and a block's entries follow from its size.
+    N-grams below ``min_count`` are taken as unseen, single tokens never are. The counts include the
+    document that is scored, so with a ``min_count`` of 1 an n-gram that stands only there would be its
+    own evidence: it would score up to log 1, and no text of the corpus would ever back off.
 
     N-grams are of the tokenizer's ids, packed exactly, which bounds ``order`` by 3. Empty and NULL texts
     have no tokens, the score 0 and no mean; rows that repeat a key are scored one by one, NULL keys
@@ -91,44 +129,76 @@ def lm_scores(
         F.pmod(F.xxhash64(F.col(key), body), F.lit(blocks)).alias("_block"), F.col(key).alias("_id"), body.alias("_text")
     )
 
+    parts = max(PARTS, blocks // 2)
+
     def explode(table: pa.Table) -> pa.Table:
-        words = word_tokenizer(tokenizer)
-        arrays = list(_token_arrays(words, table.column("_text")))
-        grams, counts = _count([_grams(ids, k) for ids in arrays for k in range(1, order + 1)])
-        block = np.full(len(grams), table.column("_block")[0].as_py())
-        return pa.table({"_block": block, "_gram": grams, "_n": counts})
-
-    own = keep(dealt.groupBy("_block").applyInArrow(explode, "_block bigint, _gram bigint, _n bigint"))
-    single = (F.col("_gram") > 0) & (F.col("_gram") < 1 << 16)
-    counts = own.groupBy("_gram").agg(F.sum("_n").alias("_count"))
-    counts = keep(counts.where(single | (F.col("_count") >= min_count)))
-    total = counts.where(single).agg(F.sum("_count")).first()[0] or 0
-    answers = own.select("_block", "_gram").join(counts, "_gram")
+        sizes, _, keys, exist = _block_grams(word_tokenizer(tokenizer), table.column("_text"), order)
+        keys = keys[exist]
+        grams, own = np.unique(keys, return_counts=True)
+        del keys, exist
+        part = ((grams >> np.uint64(16)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        packed = []
+        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(grams)], strict=False):
+            steps = np.diff(grams[i:j], prepend=np.uint64(0))
+            # the first step is long, so it goes with the number of the part
+            steps[0] -= _first(int(part[i]), parts)
+            packed.append((steps.astype("<u4" if steps.max() < 1 << 32 else "<u8").tobytes(), own[i:j].astype("<u4").tobytes()))
+        tokens = np.zeros(len(starts), np.int64)
+        tokens[:1] = sizes.sum()
+        block = np.full(len(starts), table.column("_block")[0].as_py(), np.int64)
+        steps, own = ([p[k] for p in packed] for k in (0, 1))
+        return pa.table(
+            [pa.array(block), pa.array(part[starts]), pa.array(steps, pa.binary()), pa.array(own, pa.binary()), pa.array(tokens)],
+            names=["_block", "_part", "_steps", "_own", "_tokens"],
+        )
+
+    def add_up(table: pa.Table) -> pa.Table:
+        own = [np.frombuffer(b, "<u4") for b in table.column("_own").to_pylist()]
+        steps = [
+            np.frombuffer(b, "<u4" if len(b) == 4 * len(n) else "<u8")
+            for b, n in zip(table.column("_steps").to_pylist(), own, strict=True)
+        ]
+        grams = np.concatenate([np.cumsum(s, dtype=np.uint64) for s in steps])
+        at = _numbers(grams)
+        # sums of whole numbers, exact up to 2 ** 53
+        counts = np.bincount(at, np.concatenate(own)).astype("<i8")[at]
+        ends = np.cumsum([len(n) for n in own])[:-1]
+        counts = pa.array([c.tobytes() for c in np.split(counts, ends)], pa.binary())
+        return pa.table(
+            [table.column("_block"), table.column("_part"), counts, table.column("_tokens")],
+            names=["_block", "_part", "_counts", "_tokens"],
+        )
+
+    exploded = dealt.groupBy("_block").applyInArrow(
+        explode, "_block bigint, _part bigint, _steps binary, _own binary, _tokens bigint"
+    )
+    answers = keep(exploded.groupBy("_part").applyInArrow(add_up, "_block bigint, _part bigint, _counts binary, _tokens bigint"))
+    total = answers.agg(F.sum("_tokens")).first()[0] or 0
 
     def score(texts: pa.Table, known: pa.Table) -> pa.Table:
-        words = word_tokenizer(tokenizer)
-        grams = np.asarray(known.column("_gram").combine_chunks()).view(np.uint64)
-        by_gram = np.argsort(grams)
-        grams = grams[by_gram]
-        numbers = np.asarray(known.column("_count").combine_chunks())[by_gram]
-
-        def find(keys: np.ndarray) -> np.ndarray:
-            if not len(grams):
-                return np.zeros(len(keys), np.int64)
-            at = np.minimum(np.searchsorted(grams, keys), len(grams) - 1)
-            return np.where(grams[at] == keys, numbers[at], 0)
-
-        rows = []
-        for ids in _token_arrays(words, texts.column("_text")):
-            result = backoff_scores(ids, find, order, alpha, min_count, total) if len(ids) else (0.0, 0)
-            rows.append((len(ids), result[1], result[0]))
-        n, back, logs = (list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [])
+        sizes, place, keys, exist = _block_grams(word_tokenizer(tokenizer), texts.column("_text"), order)
+        keys = keys[exist]
+        at = _numbers(keys)
+        del keys
+        found = known.select(["_part", "_counts"]).sort_by("_part").column("_counts").to_pylist()
+        found = np.frombuffer(b"".join(found), "<i8")
+        counts = np.zeros(exist.shape, np.int64)
+        counts[exist] = found[at]
+        del at, found, exist
+        logs, back = backoff_scores(place, counts, alpha, min_count, total)
+        doc, n = np.repeat(np.arange(len(sizes)), sizes), len(sizes)
         return pa.table(
-            [texts.column("_id"), pa.array(n, pa.int64()), pa.array(back, pa.int64()), pa.array(logs, pa.float64())],
+            [
+                texts.column("_id"),
+                pa.array(sizes),
+                pa.array(np.bincount(doc, back, n).astype(np.int64)),
+                pa.array(np.bincount(doc, logs, n).astype(np.float64)),
+            ],
             names=["_id", "n_tokens", "n_backoff", "log_score"],
         )
 
     schema = f"_id {kind}, n_tokens bigint, n_backoff bigint, log_score double"
-    scored = dealt.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(score, schema)
+    scored = dealt.groupBy("_block").cogroup(answers.select("_block", "_part", "_counts").groupBy("_block")).applyInArrow(score, schema)
     mean = F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens"))
     return scored.select(F.col("_id").alias(key), "n_tokens", "n_backoff", "log_score", mean.alias("mean_log_score"))
