@@ -69,8 +69,13 @@ def _distinct(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 
 
 def _slot(value: str | None, slots: int) -> int:
+    """Slot of a value by all of its bytes, eight at a time; one of up to eight is only multiplied."""
     raw = (value or "").encode()
-    return int.from_bytes(raw[:8].rjust(8, b"\0"), "big") * 0x9E3779B97F4A7C15 % (1 << 64) * slots >> 64
+    key = 0
+    for i in range(0, max(len(raw), 1), 8):
+        key ^= key >> 29
+        key = (key ^ int.from_bytes(raw[i : i + 8].rjust(8, b"\0"), "big")) * 0x9E3779B97F4A7C15 % (1 << 64)
+    return key * slots >> 64
 
 
 def meta_slots(texts: Texts, source: list, lang: list) -> np.ndarray:

@@ -8,7 +8,7 @@ import random
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from panelkit.llm import queries
+from panelkit.llm import cotraining, queries
 from tests.llm import brute
 
 
@@ -30,3 +30,11 @@ def test_lm_scores_count_three_tokens(spark, documents, tmp_path):
         assert (got[i]["n_tokens"], got[i]["n_backoff"]) == (n, back)
         assert math.isclose(got[i]["log_score"], score, rel_tol=1e-9, abs_tol=1e-9)
     assert got[0]["n_backoff"] == 0 and got[4]["n_backoff"] > 0
+
+
+def test_metadata_slots_tell_long_names_apart():
+    old = {v: int.from_bytes(v.encode().rjust(8, b"\0"), "big") * 0x9E3779B97F4A7C15 % (1 << 64) * 32 >> 64 for v in ("", "src19")}
+    assert {v: cotraining._slot(v, 32) for v in old} == old and cotraining._slot(None, 32) == old[""]
+    for start in ("https://", "commoncrawl-", "a name of more than sixteen bytes "):
+        slots = {cotraining._slot(f"{start}{i}", 32) for i in range(200)}
+        assert len(slots) > 24
