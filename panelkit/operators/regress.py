@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.functions.semantics import clamp_negative, nan_to_null, ratio
+from panelkit.operators.numbering import null_safe_join
 from panelkit.operators.quantiles import bounded_quantiles, quantile_of
 
 # (dependent, independent); fixed values of the study
@@ -113,7 +114,7 @@ def fit_sample(
 def augment(pairs: DataFrame, coefs: DataFrame, by: Sequence[str] = MODEL_KEYS) -> DataFrame:
     """Complete pairs with the fitted value and residual of their model."""
     rows = pairs.dropna("any", subset=["y", "x"])
-    joined = rows.join(coefs.select(*by, "intercept", "slope"), list(by))
+    joined = null_safe_join(rows, coefs.select(*by, "intercept", "slope"), list(by))
     fitted = F.col("intercept") + F.col("slope") * F.col("x")
     return joined.withColumn("fitted", fitted).withColumn("resid", F.col("y") - F.col("fitted")).drop(
         "intercept", "slope"
@@ -137,7 +138,7 @@ def sample_residuals(
         F.map_from_entries(F.collect_list(F.struct("formula", model))).alias("_models")
     )
     names = {c: nan_to_null(F.col(c)).alias(c) for p in pairs for c in p}
-    joined = sample.select(*ids, *by, *names.values()).join(models, list(by))
+    joined = null_safe_join(sample.select(*ids, *by, *names.values()), models, list(by))
     items = []
     for dep, ind in pairs:
         name = F.lit(formula(dep, ind))
@@ -179,7 +180,7 @@ def confidence_band(
     The grid is grouped by its integer index. One group holds one prediction per replicate, so its size
     is a parameter.
     """
-    models = coefs.select(*by, replicate, "intercept", "slope").join(ranges, list(by))
+    models = null_safe_join(coefs.select(*by, replicate, "intercept", "slope"), ranges, list(by))
     # a handful of (formula, stratum) pairs: spread the models before they multiply
     models = models.repartition(*by, replicate)
     grid = models.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
