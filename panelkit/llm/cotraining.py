@@ -212,9 +212,19 @@ def _calibrated(models: Models, held: pd.DataFrame) -> Models:
 
 
 def train(rows: DataFrame, rounds: int = 2, confidence: float = 0.98, ridge: float = 1.0) -> Models:
-    """Co-train on rows ``_a, _b, _label, _held``; unlabelled rows have neither label."""
-    held = rows.where("_held IS NOT NULL").select("_id", "_a", "_b", "_held")
-    held = held.orderBy(F.xxhash64("_id")).limit(CALIBRATION_ROWS).toPandas()
+    """Co-train on rows ``_a, _b, _label, _held``; unlabelled rows have neither label.
+
+    Rows set aside that the calibration does not take are trained on.
+    """
+    place = F.xxhash64("_id")
+    held = rows.where("_held IS NOT NULL").select("_id", "_a", "_b", "_held", place.alias("_place"))
+    held = held.orderBy("_place").limit(CALIBRATION_ROWS + 1).toPandas()
+    if len(held) > CALIBRATION_ROWS:
+        # rows that repeat a key go the same way
+        cut = int(held["_place"].iloc[-1])
+        held = held[held["_place"] < cut]
+        spare = F.col("_held").isNotNull() & (place >= cut)
+        rows = rows.withColumn("_label", F.when(spare, F.col("_held")).otherwise(F.col("_label")))
     confident = float(np.log(confidence / (1 - confidence)))
     models = _calibrated(_fit(rows, Models(), None, confident, 6, ridge), held)
     for _ in range(rounds):
@@ -250,12 +260,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", thre
     Two classifiers see a document: one its text (characters, word shapes, repetition), one its
     metadata (source, language, length, lines). Both start from the labelled documents. In each round,
     each is trained again on the labelled documents and on all unlabelled ones of which the other is
-    confident. Their log-odds are calibrated on a fifth of the labelled documents, which training leaves
-    out, and added, with the prior counted once; a view without information adds nothing. A document is
+    confident. Their log-odds are calibrated on a fifth of the labelled documents, at most
+    ``CALIBRATION_ROWS``, which training leaves out, and added, with the prior counted once; a view without information adds nothing. A document is
     kept if the combined probability reaches ``threshold``.
 
-    Training passes over all documents; the calibration rows are at most ``CALIBRATION_ROWS``, chosen by a
-    hash. ``options`` are those of :func:`train_on`. NULL texts are empty, NULL source and language are
+    Training passes over all other documents; the calibration rows are chosen by a hash. ``options`` are those of :func:`train_on`. NULL texts are empty, NULL source and language are
     values of their own, rows that repeat a key are scored one by one. Without labels all scores are 0.5
     and everything is kept; an empty table gives an empty result; other columns are ignored.
     """

@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 
 from panelkit.llm import cotraining, queries
 from tests.llm import brute
+from tests.llm.conftest import prose
 
 
 def test_lm_scores_count_three_tokens(spark, documents, tmp_path):
@@ -38,3 +39,24 @@ def test_metadata_slots_tell_long_names_apart():
     for start in ("https://", "commoncrawl-", "a name of more than sixteen bytes "):
         slots = {cotraining._slot(f"{start}{i}", 32) for i in range(200)}
         assert len(slots) > 24
+
+
+def test_labels_that_calibration_leaves_are_trained_on(documents, spark, monkeypatch):
+    docs = documents([(i, prose(i, 30)) for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    fitted, held = [], []
+    fit, calibrated = cotraining._fit, cotraining._calibrated
+
+    def counted_fit(rows, *args):
+        fitted.append({r["_id"] for r in rows.where("_label IS NOT NULL").collect()})
+        return fit(rows, *args)
+
+    def counted_calibrated(models, frame):
+        held.append(set(frame["_id"]))
+        return calibrated(models, frame)
+
+    monkeypatch.setattr(cotraining, "_fit", counted_fit)
+    monkeypatch.setattr(cotraining, "_calibrated", counted_calibrated)
+    monkeypatch.setattr(cotraining, "CALIBRATION_ROWS", 3)
+    cotraining.train_on(docs, labels, rounds=0)
+    assert len(held[0]) == 3 and not fitted[0] & held[0] and fitted[0] | held[0] == set(range(60))
