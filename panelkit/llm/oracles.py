@@ -75,3 +75,64 @@ WITH docs AS (
 SELECT doc_id, CAST(len(lines) AS INTEGER) AS n_lines, coalesce(n, 0) AS n_removed, coalesce(places, '') AS removed_lines
 FROM docs LEFT JOIN removed USING (doc_id)
 """
+
+# crc32 of the decimal key: each byte is put in and followed by eight shifts
+_CRC32 = """
+list_reduce(
+  list_prepend(CAST(4294967295 AS BIGINT), flatten([[CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]
+                                                   FOR c IN string_split(CAST(doc_id AS VARCHAR), '')])),
+  lambda h, b: CASE WHEN b >= 0 THEN xor(h, b) ELSE xor(h >> 1, 3988292384 * (h & 1)) END)
+"""
+
+_RECORD = """
+sha256(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+       || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')
+       || coalesce(strlen({text}) || ':' || {text}, '-'))
+"""
+
+ORACLES["op11_merkle_manifest"] = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('s' || source, 'n') AS g, {_RECORD.format(text="text")} AS leaf,
+         CASE WHEN xor({_CRC32}, 4294967295) % 2 = 0 THEN {_RECORD.format(text="replace(text, chr(10), '')")} END AS bad
+  FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS r FROM leaves
+), nodes(g, level, i, d) AS (
+  SELECT g, 0, r, leaf FROM placed
+  UNION ALL
+  SELECT g, level + 1, i // 3, sha256(string_agg(d, '' ORDER BY i))
+  FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM nodes) WHERE c > 1 GROUP BY g, level, i // 3
+), tops AS (
+  SELECT g, arg_max(d, level) AS subroot, row_number() OVER (ORDER BY g) - 1 AS r FROM nodes GROUP BY g
+), over(level, i, d) AS (
+  SELECT 0, r, subroot FROM tops
+  UNION ALL
+  SELECT level + 1, i // 3, sha256(string_agg(d, '' ORDER BY i))
+  FROM (SELECT *, count(*) OVER () AS c FROM over) WHERE c > 1 GROUP BY level, i // 3
+), every AS (
+  SELECT * FROM nodes UNION ALL SELECT NULL, * FROM over
+), sides AS (
+  SELECT a.g, a.level, a.i,
+         coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l,
+         coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM every a JOIN every b ON a.g IS NOT DISTINCT FROM b.g AND a.level = b.level AND a.i // 3 = b.i // 3
+       JOIN every c ON a.g IS NOT DISTINCT FROM c.g AND c.level = a.level + 1 AND c.i = a.i // 3
+  GROUP BY a.g, a.level, a.i
+), lower_part(doc_id, g, level, i, acc, proof) AS (
+  SELECT doc_id, g, 0, r, coalesce(bad, leaf), '' FROM placed
+  UNION ALL
+  SELECT p.doc_id, p.g, p.level + 1, p.i // 3, sha256(l || acc || r), proof || l || r
+  FROM lower_part p JOIN sides s ON p.g = s.g AND p.level = s.level AND p.i = s.i
+), met AS (
+  SELECT doc_id, g, arg_max(acc, level) AS acc, arg_max(proof, level) AS proof FROM lower_part GROUP BY doc_id, g
+), upper_part(doc_id, level, i, acc, proof) AS (
+  SELECT doc_id, 0, r, acc, proof FROM met JOIN tops USING (g)
+  UNION ALL
+  SELECT p.doc_id, p.level + 1, p.i // 3, sha256(l || acc || s.r), proof || l || s.r
+  FROM upper_part p JOIN sides s ON s.g IS NULL AND p.level = s.level AND p.i = s.i
+), ended AS (
+  SELECT doc_id, arg_max(acc, level) AS folded_root, sha256(arg_max(proof, level)) AS proof_sha256 FROM upper_part GROUP BY doc_id
+)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM placed JOIN tops USING (g) JOIN ended USING (doc_id), (SELECT arg_max(d, level) AS root FROM over)
+"""

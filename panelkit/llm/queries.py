@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import cotraining, exact_dedup, jaccard, line_dedup, lm, mixing, packing, repetition, url_rules, warc
+from panelkit.llm import cotraining, exact_dedup, jaccard, line_dedup, lm, merkle, mixing, packing, repetition, url_rules, warc
 
 # The rules of the URL query.
 URL_RULES = [
@@ -79,6 +79,21 @@ def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    # of every other row, by a checksum of its key, a copy without line ends is held against the manifest
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.lit(False))
+    found = F.when(tampered, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    claimed = F.unhex(merkle.record_digest([*map(F.col, fields[:-1]), found]))
+    rows = merkle.merkle_manifest(table(spark, sf, "documents"), fields=fields, carry={"claimed": claimed})
+    siblings = F.array_join(F.zip_with("lefts", "rights", lambda a, b: F.concat(a, b)), "")
+    rows = rows.withColumn("folded_root", merkle.folded_root(F.lower(F.hex("claimed")), F.col("lefts"), F.col("rights")))
+    return rows.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -92,5 +107,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_warc,
         op9_lm_scores,
         op10_jaccard_join,
+        op11_merkle_manifest,
     )
 }
