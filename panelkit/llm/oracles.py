@@ -136,3 +136,28 @@ WITH RECURSIVE leaves AS (
 SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
 FROM placed JOIN tops USING (g) JOIN ended USING (doc_id), (SELECT arg_max(d, level) AS root FROM over)
 """
+
+ORACLES["op13_ranked_search"] = r"""
+WITH every AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), tf AS (
+  SELECT doc_id, term, count(*) AS tf FROM every GROUP BY ALL
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM every GROUP BY doc_id
+), corpus AS (
+  SELECT count(*) AS N_docs, CAST(sum(n) AS BIGINT) AS L FROM sizes
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * N_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, corpus GROUP BY term, N_docs
+), lengths AS (
+  SELECT doc_id, 100 - 50 + (50 * n * N_docs) // L AS m FROM sizes, corpus
+), scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id) GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import cotraining, exact_dedup, jaccard, line_dedup, lm, merkle, mixing, packing, repetition, url_rules, warc
+from panelkit.llm import cotraining, exact_dedup, jaccard, line_dedup, lm, merkle, mixing, packing, repetition, search, toxicity, url_rules, warc
 
 # The rules of the URL query.
 URL_RULES = [
@@ -94,6 +94,17 @@ def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op12_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    labels = table(spark, sf, "labels").where(~held_out)
+    scored = toxicity.toxicity_scores(table(spark, sf, "documents"), labels)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op13_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    return search.ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -108,5 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_lm_scores,
         op10_jaccard_join,
         op11_merkle_manifest,
+        op12_toxicity,
+        op13_ranked_search,
     )
 }
