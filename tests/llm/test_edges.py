@@ -59,6 +59,18 @@ def test_exact_duplicates_with_one_salt(docs):
     assert sorted(map(str, one)) == sorted(map(str, many))
 
 
+def test_a_million_rows_alike(spark):
+    same = spark.range(1_000_000, numPartitions=4).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'' AS text", "id AS n")
+    docs = same.unionByName(spark.createDataFrame([(1, "a", 1), (2, "a", 2), (3, None, 3)], "doc_id long, text string, n long"))
+    got = exact_dedup.exact_duplicates(docs).groupBy("keep_id", "group_size", "kept").count().collect()
+    expected = {(3, 1_000_001, True): 1, (3, 1_000_001, False): 1_000_000, (2, 2, True): 1, (2, 2, False): 1}
+    assert {tuple(r)[:3]: r["count"] for r in got} == expected
+    alone = exact_dedup.exact_duplicates(same).groupBy("keep_id", "group_size", "kept").count().collect()
+    assert {tuple(r)[:3]: r["count"] for r in alone} == {(None, 1_000_000, True): 1, (None, 1_000_000, False): 999_999}
+    stay = exact_dedup.drop_exact_duplicates(docs).collect()
+    assert sorted(map(tuple, stay)) == [(2, "a", 2), (3, None, 3)]
+
+
 @pytest.mark.parametrize("min_words", [1, 7, 50])
 def test_repeated_lines(documents, min_words):
     shared = prose(7, 80, 9)
