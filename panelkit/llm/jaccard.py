@@ -3,7 +3,9 @@
 Documents are sets of word n-grams. Identical sets are one set from the start. A pair of sets with a
 Jaccard index of at least ``num / den`` misses at most ``n - ceil(n * num / den)`` of each set's ``n``
 members, which the steps use three times: to drop sets that share too few members with any other, to
-index the others by their rarest members only, and to skip positions of the lists inside a block.
+index the others by their rarest members only, and to skip the positions of lists inside a block where
+sizes do not fit. How many sets hold a member is counted for sorted, packed runs of members, so no member
+moves as a row of its own.
 """
 
 from __future__ import annotations
@@ -13,18 +15,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.llm.components import connected_components
+from panelkit.llm.packed import in_order, occurrences, pack, unpack
 from panelkit.llm.prefix import running_totals
 from panelkit.llm.words import Texts, chunks, combine, mix, windows
-from panelkit.session import discard, keep, release
+from panelkit.session import discard, keep, settle
 
 # Sets that a task compares with each other; larger clusters are cut into blocks of so many.
 BLOCK = 256
 # Sets of small clusters that are handed to Python together.
 GROUP = 256
+# Text, or hashes, of the documents whose members move together, in bytes; one long text is taken whole.
+BLOCK_BYTES = 8 << 20
 # Share of a set's members that the first look takes beyond those a partner may lack.
 FIRST = 0.05
 
@@ -70,22 +76,63 @@ def _look(n, share: float, num: int, den: int):
     return F.least(n, taken) if isinstance(n, Column) else min(n, taken)
 
 
+def _sorted_blocks(rows: list[pa.Array], names: list[str], number: int, arrays: list[np.ndarray]) -> pa.RecordBatch:
+    """One block row: columns of its rows as lists, all their hashes sorted, and which row has each."""
+    flat = np.concatenate([np.zeros(0, np.uint64), *arrays])
+    owner = np.repeat(np.arange(len(arrays), dtype="<u4"), [len(a) for a in arrays])
+    order = np.argsort(flat)
+    packed = [pa.array([pack(v[order])], pa.binary()) for v in (flat.astype("<u8"), owner)]
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(r)], pa.int32()), r) for r in rows]
+    return pa.RecordBatch.from_arrays([pa.array([number]), *packed, *lists], names=["_block", "_hashes", "_owner", *names])
+
+
 def _heads(docs: DataFrame, key: str, text: str, size: int, num: int, den: int) -> DataFrame:
-    """``_id, _x, _n, _d1, _d2, _head``: set size, digest of the set, and what the first look shows."""
+    """Blocks of documents, ``_block, _hashes, _owner`` and lists of the rows' ``_id, _x, _n, _d1, _d2``.
+
+    The hashes are what the first look shows of each set.
+    """
     kind = docs.select(key).schema[0].dataType.simpleString()
+    names = ["_id", "_x", "_n", "_d1", "_d2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, rows, heads, held = TaskContext.get().partitionId() << 33, [], [], 0
+
+        def block() -> pa.RecordBatch:
+            return _sorted_blocks([pa.concat_arrays(c) for c in zip(*rows, strict=True)], names, number, heads)
+
         for batch in batches:
             for i, j, texts in chunks(batch.column(2), lower=True):
                 sets = list(_sets(texts, size))
                 n = np.array([len(s) for s in sets], np.int64)
-                heads = [s[: _look(len(s), FIRST, num, den)] for s in sets]
-                columns = [batch.column(c).slice(i, j - i) for c in (0, 1)]
-                columns += [pa.array(n), *[pa.array(d) for d in _digests(sets)], _lists(heads)]
-                yield pa.RecordBatch.from_arrays(columns, names=["_id", "_x", "_n", "_d1", "_d2", "_head"])
+                rows.append([*[batch.column(c).slice(i, j - i) for c in (0, 1)], pa.array(n), *[pa.array(d) for d in _digests(sets)]])
+                heads += [s[: _look(len(s), FIRST, num, den)] for s in sets]
+                held += len(texts.buf)
+                if held >= BLOCK_BYTES:
+                    yield block()
+                    number, rows, heads, held = number + 1, [], [], 0
+        if rows:
+            yield block()
 
-    schema = f"_id {kind}, _x bigint, _n bigint, _d1 bigint, _d2 bigint, _head array<bigint>"
-    return _texts(docs, key, text).mapInArrow(run, schema)
+    lists = f"_id array<{kind}>, " + ", ".join(f"{c} array<bigint>" for c in names[1:])
+    return _texts(docs, key, text).mapInArrow(run, f"_block bigint, _hashes binary, _owner binary, {lists}")
+
+
+def _first_look(blocks: DataFrame) -> DataFrame:
+    """``_id, _x, _n, _d1, _d2, _known``: each document, and how many of the members shown stand elsewhere."""
+    n_blocks = blocks.count()
+    kind = blocks.schema["_id"].dataType.elementType.simpleString()
+    names = ["_id", "_x", "_n", "_d1", "_d2"]
+
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        owner = unpack(block.column("_owner")[0].as_py(), "<u4")
+        rows = [block.column(c).combine_chunks().values for c in names]
+        known = np.bincount(owner, in_order(answers) > 1, len(rows[0])).astype(np.int64)
+        return pa.table([*rows, pa.array(known)], names=[*names, "_known"])
+
+    own = blocks.drop("_hashes").repartition(max(n_blocks // 2, 1), "_block")
+    answers = occurrences(blocks, n_blocks).repartition(max(n_blocks // 2, 1), "_block")
+    schema = f"_id {kind}, _x bigint, _n bigint, _d1 bigint, _d2 bigint, _known bigint"
+    return own.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(run, schema)
 
 
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -116,51 +163,53 @@ def _whole_sets(texts: DataFrame, size: int) -> DataFrame:
     return columns.mapInArrow(run, "_set bigint, _n bigint, _tokens array<bigint>")
 
 
-def _shared(entries: DataFrame) -> DataFrame:
-    """Members ``_h`` that several sets show, with how many: ``_h, _df``."""
-    return entries.groupBy("_h").agg(F.count(F.lit(1)).alias("_df")).where("_df > 1")
-
-
-def link_block(tokens: list[np.ndarray], num: int, den: int) -> np.ndarray:
+def link_block(tokens: list[np.ndarray], num: int, den: int, read: list[int] | None = None) -> np.ndarray:
     """Component of each of some sets of sorted members under their links, compared exactly.
 
-    Sets are taken by size. Each gets its overlaps with all others from the index lists of its members;
-    a set that is very like one already done starts from that one's overlaps and only visits the lists
-    of the members in which the two differ. Only partners of a fitting size, a run of positions as the
-    lists are in order of size, are looked at.
+    Sets are placed by size, so index lists are in order of size too, and a set's possible partners after
+    it are a run of places that ends where sizes no longer fit. Lists are entered at the first such place
+    and left at the last; what lies outside is skipped. A set that is very like one already done starts
+    from that one's overlaps, as far as its run goes, and there only visits the lists of the members in
+    which the two differ. ``read`` gets the number of list entries read.
     """
     sizes = np.array([len(t) for t in tokens])
     order = np.argsort(sizes, kind="stable")
     sizes = sizes[order]
     flat, ids = np.unique(np.concatenate([tokens[i] for i in order]), return_inverse=True)
-    owner = np.repeat(np.arange(len(order)), sizes)
-    by_token = np.argsort(ids, kind="stable")
-    lists, starts = owner[by_token], np.searchsorted(ids[by_token], np.arange(len(flat) + 1))
+    m = len(order)
+    # an entry is its list and then its place, so one search finds a place in any list
+    entries = np.sort(ids * m + np.repeat(np.arange(m), sizes))
+    places = entries % m
     ends = np.cumsum(sizes)
     members = [ids[e - n : e] for e, n in zip(ends, sizes, strict=True)]
-    m = len(order)
+    until = np.searchsorted(sizes, sizes * den // num, "right")
     overlap = np.zeros((m, m), np.int32)
     root = np.arange(m)
 
-    def visit(some: np.ndarray) -> np.ndarray:
-        if not len(some):
-            return np.zeros(m, np.int64)
-        counts = starts[some + 1] - starts[some]
-        at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts[some], counts)
-        return np.bincount(lists[at], minlength=m)
+    def visit(some: np.ndarray, first: int, last: int) -> np.ndarray:
+        """How many of some members the sets of places ``first`` to ``last`` hold."""
+        if not len(some) or first >= last:
+            return np.zeros(max(last - first, 0), np.int64)
+        begin, end = np.searchsorted(entries, some * m + first), np.searchsorted(entries, some * m + last)
+        counts = end - begin
+        at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - begin, counts)
+        if read is not None:
+            read.append(len(at))
+        return np.bincount(places[at] - first, minlength=last - first)
 
     for i in range(m):
+        first, last = i + 1, int(until[i])
         like = int(np.argmax(overlap[:i, i])) if i else 0
-        apart = sizes[like] + sizes[i] - 2 * overlap[like, i] if i else sizes[i]
-        if i and apart < sizes[i]:
+        known = min(int(until[like]), last) if i else first
+        if i and first < known and sizes[like] + sizes[i] - 2 * overlap[like, i] < sizes[i]:
             gone = np.setdiff1d(members[like], members[i], assume_unique=True)
             new = np.setdiff1d(members[i], members[like], assume_unique=True)
-            overlap[i] = overlap[like] - visit(gone) + visit(new)
+            overlap[i, first:known] = overlap[like, first:known] - visit(gone, first, known) + visit(new, first, known)
         else:
-            overlap[i] = visit(members[i])
-        last = int(np.searchsorted(sizes, sizes[i] * den // num, "right"))
-        o = overlap[i, i + 1 : last].astype(np.int64)
-        linked = np.flatnonzero(den * o >= num * (sizes[i] + sizes[i + 1 : last] - o)) + i + 1
+            known = first
+        overlap[i, known:last] = visit(members[i], known, last)
+        o = overlap[i, first:last].astype(np.int64)
+        linked = np.flatnonzero(den * o >= num * (sizes[i] + sizes[first:last] - o)) + first
         if len(linked):
             roots = np.unique(root[np.append(linked, i)])
             root[np.isin(root, roots)] = roots[0]
@@ -196,6 +245,49 @@ def _blocks(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
     return ranked.withColumn("_block", F.floor(F.col("_rank") / BLOCK)).drop("_one", "_rank")
 
 
+def _whole_blocks(whole: DataFrame) -> DataFrame:
+    """Blocks of whole sets: ``_block, _hashes, _owner`` and lists of their ``_set, _n``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, rows, sets, held = TaskContext.get().partitionId() << 33, [], [], 0
+        for batch in batches:
+            for r in range(batch.num_rows):
+                rows.append([c.slice(r, 1) for c in batch.columns[:2]])
+                sets.append(np.asarray(batch.column(2)[r].values).view(np.uint64) ^ _SIGN)
+                held += len(sets[-1])
+                if held >= BLOCK_BYTES // 8:
+                    yield _sorted_blocks([pa.concat_arrays(c) for c in zip(*rows, strict=True)], ["_set", "_n"], number, sets)
+                    number, rows, sets, held = number + 1, [], [], 0
+        if rows:
+            yield _sorted_blocks([pa.concat_arrays(c) for c in zip(*rows, strict=True)], ["_set", "_n"], number, sets)
+
+    schema = "_block bigint, _hashes binary, _owner binary, _set array<bigint>, _n array<bigint>"
+    return whole.select("_set", "_n", "_tokens").mapInArrow(run, schema)
+
+
+def _rarest(blocks: DataFrame, num: int, den: int) -> DataFrame:
+    """``_set, _h``: the rarest members of each set, as many as must hold one of any partner's."""
+    n_blocks = blocks.count()
+
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        owner, hashes = unpack(block.column("_owner")[0].as_py(), "<u4"), unpack(block.column("_hashes")[0].as_py(), "<u8")
+        held = in_order(answers)
+        sets, n = (np.asarray(block.column(c).combine_chunks().values) for c in ("_set", "_n"))
+        # the hashes are sorted, so equal counts stay in their order
+        some = np.flatnonzero(held > 1)
+        some = some[np.lexsort((held[some], owner[some]))]
+        own = owner[some]
+        known = np.bincount(own, minlength=len(sets))
+        room = known - _least_partner(n, num, den) + 1
+        rank = np.arange(len(own)) - np.repeat(np.cumsum(known) - known, known)
+        some = some[rank < room[own]]
+        return pa.table([pa.array(sets[owner[some]]), pa.array(_signed(hashes[some]))], names=["_set", "_h"])
+
+    own = blocks.repartition(max(n_blocks // 2, 1), "_block")
+    answers = occurrences(blocks, n_blocks).repartition(max(n_blocks // 2, 1), "_block")
+    return own.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(run, "_set bigint, _h bigint")
+
+
 def _candidates(whole: DataFrame, num: int, den: int) -> DataFrame:
     """Clusters ``_set, _cluster``: linked sets are always in the same one.
 
@@ -204,15 +296,9 @@ def _candidates(whole: DataFrame, num: int, den: int) -> DataFrame:
     one in common. Members that only one set holds are nobody's partner and no index entries, and a set
     with too few others has no partner at all. Each list joins its sets to its smallest one.
     """
-    n = F.col("_n")
-    entries = whole.select("_set", "_n", F.explode("_tokens").alias("_h"))
-    known = entries.join(_shared(entries.select("_h")), "_h")
-    per_set = known.groupBy("_set", "_n").agg(
-        F.sort_array(F.collect_list(F.struct("_df", "_h"))).alias("_known")
-    )
-    room = F.size("_known") - _least_partner(n, num, den) + 1
-    first = F.slice("_known", F.lit(1), room.cast("int"))
-    keys = keep(per_set.where(room > 0).select("_set", F.explode(first["_h"]).alias("_h")))
+    blocks = keep(_whole_blocks(whole))
+    keys = keep(_rarest(blocks, num, den))
+    discard(blocks)
     least = keys.groupBy("_h").agg(F.min("_set").alias("_least"), F.max("_set").alias("_most")).where("_least < _most")
     edges = keys.join(least, "_h").where("_set <> _least").select(F.col("_set").alias("a"), F.col("_least").alias("b"))
     return connected_components(edges.distinct()).toDF("_set", "_cluster")
@@ -241,6 +327,8 @@ def _components(whole: DataFrame, num: int, den: int) -> DataFrame:
 
     leaders = labelled(links).where("_set = _comp").drop("_comp")
     leaders = _blocks(leaders, "_cluster", ["_n", "_set"])
+    # few narrow rows beside all members of all sets: what is small must not have those shuffled
+    leaders, _ = settle(leaders)
     more = _links(leaders.join(tokens, "_set"), ["_cluster", "_block"], near, num, den)
     links = keep(links.unionByName(more))
 
@@ -258,8 +346,8 @@ def _components(whole: DataFrame, num: int, den: int) -> DataFrame:
     )
     pairs = pairs.select("_cluster", F.col("_l_block").alias("_a"), F.col("_block").alias("_b"))
     sides = pairs.select("*", F.explode(F.array_distinct(F.array("_a", "_b"))).alias("_block"))
-    work = blocks.join(sides, ["_cluster", "_block"]).join(tokens, "_set")
-    more = _links(work, ["_cluster", "_a", "_b"], F.hash("_cluster", "_a", "_b"), num, den)
+    work, _ = settle(blocks.join(sides, ["_cluster", "_block"]))
+    more = _links(work.join(tokens, "_set"), ["_cluster", "_a", "_b"], F.hash("_cluster", "_a", "_b"), num, den)
     return connected_components(links.unionByName(more))
 
 
@@ -267,15 +355,14 @@ def _classes(docs: DataFrame, key: str, text: str, size: int, num: int, den: int
     """Rows ``_id, _x, _d1, _d2, _n``, and of each set ``_d1, _d2, _n, _least``, its component's first row."""
     heads = keep(_heads(docs, key, text, size, num, den))
     same = ["_d1", "_d2", "_n"]
-    rows = keep(heads.select("_id", "_x", *same))
+    rows = keep(_first_look(heads))
+    discard(heads)
     sets = rows.where("_n > 0").groupBy(*same).agg(
-        F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_x")).alias("_least")
+        F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_x")).alias("_least"), F.max("_known").alias("_known")
     )
     sets = keep(sets.withColumn("_set", F.monotonically_increasing_id()))
-    whole = _alive(docs, heads, sets, key, text, size, num, den)
-    # what the first look wrote and shuffled is not needed any more
-    discard(heads)
-    release(docs.sparkSession)
+    whole = _alive(docs, sets, key, text, size, num, den)
+    rows = rows.drop("_known")
     comps = _components(whole, num, den)
 
     named = sets.join(comps, sets["_set"] == comps["node"], "left")
@@ -284,20 +371,14 @@ def _classes(docs: DataFrame, key: str, text: str, size: int, num: int, den: int
     return rows, named.drop("_least").join(least, "_comp").select(*same, "_least")
 
 
-def _alive(
-    docs: DataFrame, heads: DataFrame, sets: DataFrame, key: str, text: str, size: int, num: int, den: int
-) -> DataFrame:
+def _alive(docs: DataFrame, sets: DataFrame, key: str, text: str, size: int, num: int, den: int) -> DataFrame:
     """The whole sets of which enough of the first members occur elsewhere; the others have no links.
 
     Copies of a set count as occurrences elsewhere, which lets their set through and harms nothing.
     """
-    entries = heads.select("_d1", F.explode("_head").alias("_h"))
-    known = entries.join(_shared(entries.select("_h")), "_h")
-    known = known.groupBy(F.col("_d1").alias("_k1")).agg(F.count(F.lit(1)).alias("_known"))
-    first = sets.select("_set", *[F.col(c).alias(f"_f{c}") for c in ("_d1", "_d2", "_n")], "_least._id", "_least._x")
+    first = sets.select("_set", *[F.col(c).alias(f"_f{c}") for c in ("_d1", "_d2", "_n")], "_known", "_least._id", "_least._x")
     first = first.withColumnsRenamed({"_id": "_f_id", "_x": "_f_x"})
-    enough = F.col("_known") >= _extra(_least_partner(F.col("_f_n"), num, den), FIRST)
-    alive = first.join(known, F.col("_f_d1") == F.col("_k1")).where(enough)
+    alive = first.where(F.col("_known") >= _extra(_least_partner(F.col("_f_n"), num, den), FIRST)).drop("_known")
     # the sets left grow with the input, so they are never broadcast
     one = (F.col("_x") == F.col("_f_x")) & F.col("_id").eqNullSafe(F.col("_f_id"))
     texts = _texts(docs, key, text).hint("merge").join(alive, one)

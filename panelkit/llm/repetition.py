@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm.words import Texts, chunks, mix, windows
+from panelkit.llm.words import Texts, chunks, mix
 
 # Published limits for the share of characters inside duplicated n-grams and lines.
 COVERAGE_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -22,6 +22,9 @@ _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[[ord(c) for c in SYMBOLS]] = True
 _NEWLINE = 10
 _APART = np.uint64(0x9E3779B97F4A7C15)
+# An odd number and its inverse modulo 2**64.
+_BASE = 0xD1342543DE82EF95
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def _repeated(values: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -38,16 +41,38 @@ def _repeated(values: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, before
 
 
+class RollingHashes:
+    """Hashes of windows of any length over a row of values, two operations for each window.
+
+    The values before a place make a polynomial modulo 2**64 in an odd base. The window's part of it is
+    the difference of two of them, and an inverse power of the base moves it to where all windows are
+    compared, so each place costs the same for every length.
+    """
+
+    def __init__(self, values: np.ndarray):
+        power, inverse = (np.full(len(values), b, np.uint64) for b in (_BASE, _INVERSE))
+        power[:1] = inverse[:1] = 1
+        self.inverse = np.cumprod(inverse)
+        self.upto = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * np.cumprod(power), out=self.upto[1:])
+
+    def windows(self, n: int) -> np.ndarray:
+        """Hash of the ``n`` values from each place on; the last ``n - 1`` places have none."""
+        if len(self.upto) <= n:
+            return np.zeros(0, np.uint64)
+        return mix((self.upto[n:] - self.upto[:-n]) * self.inverse[: len(self.upto) - n])
+
+
 def _covered(texts: Texts, hashes: np.ndarray, sizes: Collection[int]) -> dict[int, np.ndarray]:
     """For each size: words that lie in a window of so many words that their document repeats.
 
     A repeated window starts with a repeated shorter one, so each size looks only where the one before
     it found something.
     """
-    at = np.arange(len(hashes))
+    at, rolling = np.arange(len(hashes)), RollingHashes(hashes)
     out = {}
     for n in sorted(sizes):
-        grams = windows(hashes, n)
+        grams = rolling.windows(n)
         at = at[at < len(grams)]
         at = at[texts.doc[at] == texts.doc[at + n - 1]]
         often, _ = _repeated(grams[at], texts.doc[at])
@@ -149,6 +174,5 @@ def repetition_rules(
     over = F.col("dup_line_chars") > line_limit * F.col("line_chars")
     for n, limit in limits.items():
         over = over | (F.col(f"chars_{n}") > limit * F.col("word_chars"))
-    return found.select(
-        F.col("_id").alias(key), *names, failed.alias("base_failed"), (~failed & ~over).alias("kept")
-    )
+    verdict = [failed.alias("base_failed"), (~failed & ~over).alias("kept")]
+    return found.select(F.col("_id").alias(key), *names[:5], *verdict, *names[5:])

@@ -19,6 +19,9 @@ _LETTER[97:123] = True
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
 
+# What tokenizers differ in: cases, white space kept or joined, letters beside punctuation and digits.
+_PROBE = "The Quick brown-fox,  (don't) JUMPED\tover:\n\n 12 lazy_dogs2 x.Y! Über-ÖL it's\u00a0wor\u0301ld ... \u6f22\u5b57 END"
+
 _READY: dict[str, WordTokenizer] = {}
 
 
@@ -29,7 +32,8 @@ class WordTokenizer:
     white space. So A-Z may be put in lower case and letters parted from punctuation that follows, and
     the ids of a text are those of its words in turn; a word that was met before is not encoded again.
     An apostrophe stays where it is, as it may start a contraction. Texts that might hold a special
-    token or the mark between words are encoded as they are.
+    token or the mark between words are encoded as they are. A tokenizer that is not of this kind is found
+    out by a probe when it is loaded, and then all texts are encoded as they are.
     """
 
     def __init__(self, path: str):
@@ -37,19 +41,28 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        (self.mark,) = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self.now: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
+        self.by_word = self.mark is not None
+        self.by_word = self.by_word and next(self.encode([_PROBE.encode()])) == self._whole(_PROBE.encode())
+
+    def largest_id(self) -> int:
+        return max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
+
+    def _whole(self, text: bytes) -> bytes:
+        return _packed(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text; ``texts`` should hold a bounded number of bytes."""
-        plain = [b"<|" not in t and b"\x01" not in t for t in texts]
+        plain = [self.by_word and b"<|" not in t and b"\x01" not in t for t in texts]
         words = [_parted(t.lower()).split() if p else None for t, p in zip(texts, plain, strict=True)]
         self._learn([ws for ws in words if ws])
         ids = self.now.__getitem__
         for t, ws in zip(texts, words, strict=True):
             if ws is None:
-                yield _packed(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids)
+                yield self._whole(t)
             else:
                 yield b"".join(map(ids, ws))
 
@@ -91,3 +104,8 @@ def word_tokenizer(path: str) -> WordTokenizer:
     if path not in _READY:
         _READY[path] = WordTokenizer(path)
     return _READY[path]
+
+
+def forget() -> None:
+    """Drop the tokenizers of this Python worker, with the words they remember."""
+    _READY.clear()

@@ -32,9 +32,9 @@ class Rule:
         return self.host + self.path
 
     @property
-    def pattern(self) -> str:
-        """Regular expression over ``host`` + newline + ``path``; hosts and paths may hold any character."""
-        return rf"(?s)\A(?:[^\n]*\.)?{re.escape(self.host)}\n{re.escape(self.path)}"
+    def patterns(self) -> tuple[str, str]:
+        """Regular expressions over whole hosts and over paths, which may hold any character."""
+        return rf"(?s)(?:.*\.)?{re.escape(self.host)}\Z", re.escape(self.path)
 
     def literals(self) -> set[str]:
         """Tokens that every fitting URL holds whole: a path may go on after the rule's last token."""
@@ -107,20 +107,19 @@ def judge_urls(
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules, by_token, always, rank = shared.value
-        compiled: dict[int, re.Pattern] = {}
+        compiled: dict[int, list[re.Pattern]] = {}
 
-        def fits(i: int, target: str) -> bool:
+        def fits(i: int, host: str, path: str) -> bool:
             if i not in compiled:
-                compiled[i] = re.compile(rules[i].pattern)
-            return compiled[i].search(target) is not None
+                compiled[i] = [re.compile(p) for p in rules[i].patterns]
+            return all(p.match(v) for p, v in zip(compiled[i], (host, path), strict=True))
 
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for u in batch.column(1).to_pylist():
                 host, path = split_url(u)
                 found = [i for t in _tokens(host, path) if t in by_token for i in by_token[t]] + always
-                target = f"{host}\n{path}"
-                best = max((i for i in found if fits(i, target)), key=rank.__getitem__, default=None)
+                best = max((i for i in found if fits(i, host, path)), key=rank.__getitem__, default=None)
                 row = (host, path, None if best is None else rules[best].name)
                 row += (default if best is None else rules[best].verdict, len(found))
                 for column, v in zip(out, row, strict=True):

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import Counter
 
 import public_tokenizers
 import pytest
 import zstandard
+from tokenizers import Tokenizer
 
 from panelkit.llm import cotraining, exact_dedup, jaccard, line_dedup, lm, mixing, packing, repetition, url_rules, warc
 from panelkit.llm.components import connected_components
@@ -168,7 +170,7 @@ def test_classifier(docs, labels, tricky):
     assert all(r["score"] == 0.5 and r["kept"] for r in free)
 
 
-def test_lm(docs, tricky):
+def test_lm(docs, tricky, monkeypatch):
     got = lm.lm_scores(docs, TOKENIZER, order=3, block_bytes=10_000).collect()
     assert len(got) == len(tricky)
     assert all(r["n_tokens"] == 0 and r["log_score"] == 0 and r["mean_log_score"] is None for r in got if r["doc_id"] in (1, 2, 3))
@@ -176,6 +178,46 @@ def test_lm(docs, tricky):
     assert len(same) == 3 and len(set(same)) == 1
     with pytest.raises(ValueError):
         lm.lm_scores(docs, TOKENIZER, order=4)
+    monkeypatch.setattr(lm, "MAX_ID", 40_000)
+    with pytest.raises(ValueError):
+        lm.lm_scores(docs, TOKENIZER)
+
+
+@pytest.mark.parametrize(("order", "min_count", "block_bytes"), [(1, 2, 100), (2, 1, 3000), (2, 3, 8 << 20), (3, 1, 100), (3, 2, 5000)])
+def test_lm_orders(documents, order, min_count, block_bytes):
+    texts = {i: prose(i % 5, 20 + i) for i in range(12)} | {20: "one", 21: "one two", 22: "", 23: None, 24: "one two"}
+    got = lm.lm_scores(documents(list(texts.items())).repartition(3), TOKENIZER, order=order, min_count=min_count, block_bytes=block_bytes)
+    exact = Tokenizer.from_file(TOKENIZER)
+    ids = {i: exact.encode(t or "", add_special_tokens=False).ids for i, t in texts.items()}
+    expected = brute.backoff(ids, order, 0.4, min_count)
+    rows = got.collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        n, back, score = expected[r["doc_id"]]
+        assert (r["n_tokens"], r["n_backoff"]) == (n, back) and math.isclose(r["log_score"], score, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_lm_rows_alike_are_in_several_blocks(spark):
+    # a third of a table may repeat key and text; no block grows with them
+    same = spark.range(3000, numPartitions=2).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "repeat('some words ', 20) AS text")
+    blocks = lm._blocks(same, TOKENIZER, "doc_id", "text", 100_000).selectExpr("size(_ids) AS n").collect()
+    assert len(blocks) > 4 and max(r["n"] for r in blocks) <= 512
+    got = lm.lm_scores(same, TOKENIZER, block_bytes=100_000).groupBy("n_tokens", "n_backoff").count().collect()
+    assert [(r["n_tokens"], r["n_backoff"], r["count"]) for r in got] == [(40, 0, 3000)]
+
+
+def test_grams_of_wide_vocabularies_are_sorted_alike():
+    # with many distinct tokens a triple and its place need more than 64 bits
+    import numpy as np
+
+    tokens = np.random.default_rng(2).integers(1, 60_000, 90_000).astype(np.uint16)
+    sizes = np.array([0, 50_000, 1, 2, 39_997, 0])
+    grams = lm._Grams(sizes, tokens, 3)
+    starts = np.setdiff1d(np.arange(90_000), np.cumsum(sizes) - 1)
+    assert grams.starts.tolist() == starts.tolist()
+    pairs = tokens[starts].astype(np.uint32) << np.uint32(16) | tokens[starts + 1]
+    assert (grams.pairs[grams.pair_at] == pairs).all() and (np.diff(grams.pairs.astype(np.int64)) > 0).all()
+    assert np.bincount(grams.triple_at).tolist() == grams.own.tolist() and grams.fan.sum() == len(grams.own)
 
 
 def test_jaccard(docs, tricky, documents):
@@ -272,3 +314,72 @@ def test_empty_tables(nothing, labels):
         jaccard.drop_near_duplicates(nothing),
     ]
     assert [f.count() for f in frames] == [0] * len(frames)
+
+
+def test_link_block_skips_positions():
+    import random
+
+    import numpy as np
+
+    r = random.Random(6)
+    tokens = []
+    for _ in range(30):
+        base = r.sample(range(2000), r.randint(5, 200))
+        for _ in range(r.randint(1, 4)):
+            tokens.append(np.array(sorted({t if r.random() > 0.06 else r.randrange(2000) for t in base}), np.int64))
+    r.shuffle(tokens)
+    read: list[int] = []
+    got = jaccard.link_block(tokens, 80, 100, read)
+    root = list(range(len(tokens)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    whole = 0
+    for i, a in enumerate(tokens):
+        for j, b in enumerate(tokens):
+            o = len(np.intersect1d(a, b))
+            whole += o
+            if i < j and 100 * o >= 80 * (len(a) + len(b) - o):
+                root[find(i)] = find(j)
+    names = {}
+    for i, g in enumerate(got.tolist()):
+        assert names.setdefault(find(i), g) == g
+    assert len(set(got.tolist())) == len(names)
+    # whole lists would hold every common member of every pair
+    assert 0 < sum(read) < whole / 4
+
+
+def test_urls_whose_hosts_hold_line_ends(spark):
+    urls = ["http://a\nb.com/x", "http://com\n/x", "http://net/fr/\n", "http://a\n.net/fr/x", "http://xnet/fr/", "http://net\n/fr/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [url_rules.Rule("allow", "com", "/"), url_rules.Rule("block", "net", "/fr/")]
+    got = {r["page_id"]: (r["host"], r["rule"]) for r in url_rules.judge_urls(pages, rules).collect()}
+    assert got == {0: ("a\nb.com", "com/"), 1: ("com\n", None), 2: ("net", "net/fr/"), 3: ("a\n.net", "net/fr/"), 4: ("xnet", None), 5: ("net\n", None)}
+
+
+def test_rolling_hashes_equal_those_of_equal_windows():
+    import numpy as np
+
+    values = np.random.default_rng(1).integers(0, 3, 400).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    rolling = repetition.RollingHashes(values)
+    for n in (1, 2, 5, 10, 400):
+        windows = [tuple(values[i : i + n].tolist()) for i in range(400 - n + 1)]
+        names = rolling.windows(n).tolist()
+        assert len(names) == len(windows) and len(set(zip(windows, names, strict=True))) == len(set(windows)) == len(set(names))
+    assert len(rolling.windows(401)) == 0 and len(repetition.RollingHashes(values[:0]).windows(1)) == 0
+
+
+def test_columns_of_quality_rules(docs):
+    named = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    assert repetition.repetition_rules(docs).columns[:8] == named
+
+
+def test_archives_are_read_back_by_many_tasks(spark, tmp_path):
+    pages = spark.range(300).selectExpr("id AS page_id", "concat('http://h/', id) AS url", "repeat(string(id), 50) AS html")
+    archives = warc.write_archives(pages.repartition(12), str(tmp_path / "w"), "page_id", "url", "html")
+    records = warc.read_archives(str(tmp_path / "w"), archives)
+    assert archives.count() > 4 and records.rdd.getNumPartitions() == archives.count()
+    assert records.count() == 300

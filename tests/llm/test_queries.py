@@ -94,7 +94,7 @@ def test_lm_scores(spark, small, texts):
     got = {r["doc_id"]: r for r in queries.op9_lm_scores(spark, small).collect()}
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     ids = {i: tokenizer.encode(t or "", add_special_tokens=False).ids for i, t, _ in texts}
-    for i, (n, back, score) in brute.backoff(ids, 2, 0.4, 2).items():
+    for i, (n, back, score) in brute.backoff(ids, 3, 0.4, 2).items():
         assert (got[i]["n_tokens"], got[i]["n_backoff"]) == (n, back)
         assert math.isclose(got[i]["log_score"], score, rel_tol=1e-9, abs_tol=1e-9)
 

@@ -26,3 +26,12 @@ def test_ids_equal_those_of_whole_texts(monkeypatch, size):
         part = texts[i : i + 50]
         for t, ids in zip(part, words.encode([t.encode() for t in part]), strict=True):
             assert np.frombuffer(ids, "<u4").tolist() == exact.encode(t, add_special_tokens=False).ids, t
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    exact, words = Tokenizer.from_file(path), tokens.WordTokenizer(path)
+    texts = ["The Cat  sat.\n\nOn, a Mat", "", " x", "don't STOP"]
+    assert not words.by_word and tokens.WordTokenizer(PATH).by_word
+    for t, ids in zip(texts, words.encode([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == exact.encode(t, add_special_tokens=False).ids
