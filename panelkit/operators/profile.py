@@ -217,8 +217,9 @@ def density_profile(
 
     The bandwidth is ``0.9 min(sd, IQR / 1.34) n^(-1/5)``. With ``panel`` (a subset of ``by``) the groups
     of a panel share the mean of their bandwidths and one grid, which reaches three bandwidths past the
-    data. Every value is first split over its two neighbouring grid points, so the kernel is evaluated
-    between grid points only, whatever the number of values.
+    data. Every value is first split over its two neighbouring grid points. A group's weights are then one
+    array, which is convolved with a table of the kernel by distance: nothing is truncated, and no pair of
+    grid points becomes a row.
 
     Meant for replicate statistics: a group holds one value per replicate, so its size is a parameter
     and its quantiles may be computed in one task. Groups are aggregated first, panels from the groups,
@@ -247,36 +248,36 @@ def density_profile(
         F.avg("_bw").alias("_bw"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")
     )
     shared = null_safe_join(groups.drop("_bw", "_lo", "_hi"), panels, panel)
-    rows = null_safe_join(rows, shared, by)
     low, high = F.col("_lo") - 3 * F.col("_bw"), F.col("_hi") + 3 * F.col("_bw")
-    rows = rows.withColumns({"_from": low, "_d": (high - low) / (points - 1)})
+    shared = shared.withColumns({"_from": low, "_d": (high - low) / (points - 1)})
+    # the kernel at each distance of grid points, once for a group
+    z = F.col("_d") / F.col("_bw")
+    kernel = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.exp(-0.5 * (k * z) * (k * z)))
+    shared, _ = settle(shared.withColumn("_kernel", kernel))
+    rows = null_safe_join(rows, shared.select(*by, "_from", "_d"), by)
     at = (F.col("_v") - F.col("_from")) / F.col("_d")
     split = F.array(
         F.struct(F.floor("_at").cast("int").alias("i"), (1 - F.col("_at") + F.floor("_at")).alias("w")),
         F.struct((F.floor("_at") + 1).cast("int").alias("i"), (F.col("_at") - F.floor("_at")).alias("w")),
     )
-    constants = ("_n", "_bw", "_from", "_d")
-    weights = (
-        rows.withColumn("_at", at)
-        .select(*by, *constants, F.col("_q")[2].alias("_t0"), F.col("_q")[3].alias("_t1"), F.inline(split))
-        .where(F.col("w") > 0)
-        .groupBy(*by, *constants, "_t0", "_t1", "i")
-        .agg(F.sum("w").alias("w"))
-    )
-    spread_out = weights.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    z = (F.col("g") - F.col("i")) * F.col("_d") / F.col("_bw")
-    kernel = F.col("w") * F.exp(-0.5 * z * z) / math.sqrt(2 * math.pi)
-    return (
-        spread_out.groupBy(*by, *constants, "_t0", "_t1", "g")
-        .agg((F.sum(kernel) / F.col("_n") / F.col("_bw")).alias("density"))
-        .select(
-            *by,
-            F.col("g").alias("point"),
-            (F.col("_from") + F.col("g") * F.col("_d")).alias("x"),
-            "density",
-            F.col("_t0").alias("low"),
-            F.col("_t1").alias("high"),
-        )
+    weights = rows.withColumn("_at", at).select(*by, F.inline(split)).where(F.col("w") > 0)
+    weights = weights.groupBy(*by, "i").agg(F.sum("w").alias("w"))
+    # at most one entry for each grid point
+    packed = weights.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("i", "w"))).alias("_w"))
+    scale = F.col("_n") * F.col("_bw") * math.sqrt(2 * math.pi)
+
+    def density(g: Column) -> Column:
+        return F.aggregate("_w", F.lit(0.0), lambda s, e: s + e["w"] * F.get("_kernel", F.abs(g - e["i"])))
+
+    values = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), density)
+    spread_out = null_safe_join(packed, shared, by).select("*", F.posexplode(values).alias("point", "_sum"))
+    return spread_out.select(
+        *by,
+        "point",
+        (F.col("_from") + F.col("point") * F.col("_d")).alias("x"),
+        (F.col("_sum") / scale).alias("density"),
+        F.col("_q")[2].alias("low"),
+        F.col("_q")[3].alias("high"),
     )
 
 

@@ -11,6 +11,7 @@ from panelkit.operators.numbering import _numbered, block_starts, null_safe_join
 from panelkit.operators.quantiles import _match
 from panelkit.session import keep, settle
 
+
 def random_bits(parts: Sequence[str | Column], method: str = "xxhash64") -> Column:
     """60 pseudo-random bits as a non-negative BIGINT.
 
@@ -52,28 +53,44 @@ def resample(
     return null_safe_join(numbered.hint("shuffle_merge"), drawn, [strata, "_pos"]).drop("_pos")
 
 
+# Rounds of the keyed permutation; an even number leaves both halves in their places.
+ROUNDS = 6
+# Values of its smaller half, at most, and so more than the numbers beyond a stratum that it may give.
+HALF = 64
+
+
 def draw_positions(
     sizes: DataFrame, strata: str, n: int, reps: int, seed: int, method: str = "xxhash64"
 ) -> DataFrame:
     """``strata, sample_id, _pos``: the row numbers each replicate takes from each stratum.
 
-    One rule for all sizes, Floyd's: with ``m`` rows wanted of ``size``, step ``j`` from ``size - m`` to
-    ``size - 1`` draws a number up to ``j`` and takes it, or ``j`` itself if the number was taken before.
-    Every subset of ``m`` rows is equally likely, there are ``m`` draws exactly, and a stratum of at most
-    ``n`` rows comes back whole. Each replicate and stratum is one row with an array of ``n`` numbers, so
-    its size is a parameter, and nothing has to be sorted to draw.
+    One rule for all sizes: each replicate and stratum has a permutation of its own, and takes the places
+    to which that moves the first numbers. The permutation is a Feistel network over ``half * other``
+    numbers, the fewest in rows of ``half`` that cover the stratum, so it gives fewer than ``half``
+    numbers beyond it; so many more are moved, and of what lies in the stratum the first ``n`` count. A
+    stratum of at most ``n`` rows comes back whole. The work is linear in ``n``, and each replicate and
+    stratum is one row with an array of about ``n`` numbers, so its size is a parameter.
     """
     groups = sizes.withColumn("sample_id", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    groups = groups.repartition(strata, "sample_id")
-    size = F.col("_size").cast("bigint")
-    last = F.sequence(size - F.least(size, F.lit(n)), size - 1)
-
-    def take(taken: Column, j: Column) -> Column:
-        bits = random_bits([F.lit(seed), F.col("sample_id"), F.col(strata), j], method)
-        number = F.pmod(bits, j + 1)
-        return F.concat(taken, F.array(F.when(F.array_contains(taken, number), j).otherwise(number)))
-
-    drawn = F.aggregate(last, F.array().cast("array<bigint>"), take)
+    groups = groups.repartition(strata, "sample_id").where("_size > 0")
+    groups = groups.withColumn("_size", F.col("_size").cast("bigint"))
+    groups = groups.withColumn("_half", F.least(F.lit(HALF), F.ceil(F.sqrt("_size"))).cast("bigint"))
+    groups = groups.withColumn("_other", F.expr("(_size + _half - 1) div _half"))
+    size, half, other = F.col("_size"), F.col("_half"), F.col("_other")
+
+    def swapped(pair: Column, k: Column) -> Column:
+        bits = random_bits([F.lit(seed), F.col("sample_id"), F.col(strata), k, pair["r"]], method)
+        moved = F.pmod(pair["l"] + bits, F.when(k % 2 == 1, half).otherwise(other))
+        return F.struct(pair["r"].alias("l"), moved.alias("r"))
+
+    def moved(j: Column) -> Column:
+        start = F.struct(F.pmod(j, half).alias("l"), F.floor(j / half).alias("r"))
+        rounds = F.sequence(F.lit(1), F.lit(ROUNDS))
+        return F.aggregate(rounds, start, swapped, lambda pair: pair["r"] * half + pair["l"])
+
+    wanted = F.least(size, F.lit(n).cast("bigint"))
+    tried = F.transform(F.sequence(F.lit(0).cast("bigint"), wanted + half * other - size - 1), moved)
+    drawn = F.slice(F.filter(tried, lambda p: p < size), F.lit(1), wanted.cast("int"))
     return groups.select(strata, "sample_id", F.explode(drawn).alias("_pos"))
 
 

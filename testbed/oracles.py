@@ -152,23 +152,23 @@ def _random(*parts: str) -> str:
 def _resample(src: str, strata: str, order: str, n: int, reps: int) -> str:
     """Table expressions ``numbered`` (rows with positions) and ``taken`` (positions of each replicate).
 
-    Step ``j`` draws a number up to ``j`` and takes it, or ``j`` if the number was taken before.
+    A number is split over two halves; six rounds swap them and add a hash of one to the other.
     """
+    step = f"SELECT * EXCLUDE (l, r), r AS l, (l + {_random('2021', 'k', strata, '{0}', 'r')}) % {{1}} AS r FROM ({{2}})"
+    rows = f"""SELECT z.*, CAST(k AS INTEGER) AS sample_id, k, j, j % half AS l, j // half AS r
+               FROM halves z CROSS JOIN generate_series(1, {reps}) a(k)
+               CROSS JOIN LATERAL (SELECT unnest(range(least(size, {n}) + half * other - size)) AS j) b"""
+    for i in range(1, 7):
+        rows = step.format(i, "half" if i % 2 else "other", rows)
     return f"""numbered AS (
               SELECT *, row_number() OVER (PARTITION BY {strata} ORDER BY {order}) - 1 AS pos,
                      count(*) OVER (PARTITION BY {strata}) AS size FROM {src}),
-            tried AS (
-              SELECT z.*, CAST(k AS INTEGER) AS sample_id, j, {_random('2021', 'k', strata, 'j')} % (j + 1) AS t
-              FROM (SELECT DISTINCT {strata}, size FROM numbered) z
-              CROSS JOIN generate_series(1, {reps}) a(k)
-              CROSS JOIN LATERAL (SELECT unnest(range(size - least(size, {n}), size)) AS j) b),
-            listed AS (
-              SELECT {strata}, sample_id, list([j, t] ORDER BY j) AS steps FROM tried GROUP BY ALL),
+            halves AS (
+              SELECT *, (size + half - 1) // half AS other FROM (
+                SELECT DISTINCT {strata}, size, CAST(least(64, ceil(sqrt(size))) AS BIGINT) AS half FROM numbered)),
             taken AS (
-              SELECT {strata}, sample_id, unnest(list_reduce(
-                       list_prepend(CAST([] AS BIGINT[]), steps),
-                       lambda s, d: list_append(s, CASE WHEN list_contains(s, d[2]) THEN d[1] ELSE d[2] END)
-                     )) AS pos FROM listed)"""
+              SELECT {strata}, sample_id, r * half + l AS pos FROM ({rows}) WHERE r * half + l < size
+              QUALIFY row_number() OVER (PARTITION BY {strata}, sample_id ORDER BY j) <= least(size, {n}))"""
 
 
 PARTS |= {

@@ -70,6 +70,32 @@ def test_every_row_is_drawn_about_equally_often(spark, size):
     assert all(abs(r["count"] - reps * p) < 5 * spread for r in counts)
 
 
+@pytest.mark.parametrize("size", [1, 2, 7, 64, 65, 4095, 4097, 1_000_003])
+def test_positions_are_distinct_and_inside(spark, size):
+    sizes = spark.createDataFrame([("s", size)], "g string, _size long")
+    rows = resample.draw_positions(sizes, "g", 300, 5, 1).groupBy("sample_id").agg(F.collect_list("_pos").alias("p")).collect()
+    assert len(rows) == 5
+    for r in rows:
+        assert len(r["p"]) == len(set(r["p"])) == min(300, size)
+        assert 0 <= min(r["p"]) and max(r["p"]) < size
+    if size > 4000:
+        assert len({tuple(r["p"]) for r in rows}) == 5
+        assert all(0.4 * size < sum(r["p"]) / 300 < 0.6 * size for r in rows)
+
+
+def test_pairs_of_rows_are_drawn_about_equally_often(spark):
+    counts = {}
+    drawn = draw(strata(spark, {"s": 12}), 3, 3000).groupBy("sample_id").agg(F.sort_array(F.collect_set("id")).alias("s")).collect()
+    for r in drawn:
+        for a in range(3):
+            for b in range(a + 1, 3):
+                k = (r["s"][a], r["s"][b])
+                counts[k] = counts.get(k, 0) + 1
+    p = 3 / 66
+    spread = (3000 * p * (1 - p)) ** 0.5
+    assert len(counts) == 66 and all(abs(c - 3000 * p) < 5 * spread for c in counts.values())
+
+
 def test_data_is_not_multiplied_by_the_replicates(spark):
     plan = draw(strata(spark, SIZES), 10, 5000)._jdf.queryExecution().optimizedPlan().toString()
     assert "Cartesian" not in plan and "Join Cross" not in plan
