@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from panelkit.operators import profile, regress, resample  # noqa: E402
-from panelkit.session import keep, local_session  # noqa: E402
+from panelkit.session import keep, keep_bucketed, local_session  # noqa: E402
 from testbed import views  # noqa: E402
 from testbed.catalog import QUERIES  # noqa: E402
 
@@ -57,16 +57,16 @@ def study_size(spark, sf_dir: str) -> dict[str, float]:
     """The subsampling part of the study at its own size: 5,000 replicates of 500 rows in each stratum."""
     times: dict[str, float] = {}
 
-    def timed(name: str, make):
+    def timed(name: str, make, store=keep):
         start = time.perf_counter()
-        made = keep(make())
+        made = store(make())
         times[name] = round(time.perf_counter() - start, 3)
         return made
 
     by = ["formula", "veg_type"]
     rows = keep(views.study_rows(spark, sf_dir))
     block = F.floor(F.col("id") / 4096)
-    drawn = timed("study_draw", lambda: resample.resample(rows, "veg_type", SAMPLE, REPLICATES, block, ["id"]))
+    drawn = timed("study_draw", lambda: resample.resample(rows, "veg_type", SAMPLE, REPLICATES, block, ["id"]), lambda d: keep_bucketed(d, ["sample_id", "veg_type"]))
     coefs = timed("study_fit", lambda: regress.fit_sample(drawn))
     residuals = timed("study_residuals", lambda: regress.sample_residuals(drawn, coefs))
     timed("study_mae", lambda: regress.mae(residuals))

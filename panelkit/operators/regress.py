@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from panelkit.functions.semantics import clamp_negative, nan_to_null, ratio
 from panelkit.operators.numbering import null_safe_join
-from panelkit.operators.quantiles import bounded_quantiles, quantile_of
+from panelkit.operators.quantiles import quantile_of
+from panelkit.session import settle
 
 # (dependent, independent); fixed values of the study
 PAIRS = (
@@ -131,12 +132,14 @@ def sample_residuals(
     """Complete pairs with fitted value and residual straight from the sampled rows.
 
     Equals :func:`augment` over :func:`pair_long`, but the models of a sample travel as one row, so each
-    sampled row is joined once for all formulas and turned long afterwards.
+    sampled row is joined once for all formulas and turned long afterwards. Models are one row for many
+    sampled ones: they are counted, and if few are sent to where the sample lies.
     """
     model = F.struct("intercept", "slope")
     models = coefs.groupBy(*by).agg(
         F.map_from_entries(F.collect_list(F.struct("formula", model))).alias("_models")
     )
+    models, _ = settle(models)
     names = {c: nan_to_null(F.col(c)).alias(c) for p in pairs for c in p}
     joined = null_safe_join(sample.select(*ids, *by, *names.values()), models, list(by))
     items = []
@@ -167,35 +170,40 @@ def x_ranges(pairs: DataFrame, by: Sequence[str] = ("formula", STRATUM)) -> Data
     return rows.groupBy(*by).agg(F.min("x").alias("min"), F.max("x").alias("max"))
 
 
+def sample_ranges(
+    sample: DataFrame, pairs: Sequence[tuple[str, str]] = PAIRS, by: Sequence[str] = (STRATUM,)
+) -> DataFrame:
+    """Equals :func:`x_ranges` over :func:`pair_long`, from one aggregation over the sampled rows."""
+    aggs, ranges = [], []
+    for i, (dep, ind) in enumerate(pairs):
+        x = F.when(nan_to_null(F.col(dep)).isNotNull(), nan_to_null(F.col(ind)))
+        aggs += [F.min(x).alias(f"_lo{i}"), F.max(x).alias(f"_hi{i}")]
+        ranges.append(F.struct(F.lit(formula(dep, ind)).alias("formula"), F.col(f"_lo{i}").alias("min"), F.col(f"_hi{i}").alias("max")))
+    found = sample.groupBy(*by).agg(*aggs).select(*by, F.inline(F.array(*ranges)))
+    return found.where(F.col("min").isNotNull()).select("formula", *by, "min", "max")
+
+
 def confidence_band(
     coefs: DataFrame,
     ranges: DataFrame,
     points: int = 100,
     probs: tuple[float, float] = (0.025, 0.975),
     by: Sequence[str] = ("formula", STRATUM),
-    replicate: str = "sample_id",
 ) -> DataFrame:
     """Quantiles of all replicate predictions on an even grid over the range of ``x``; never negative.
 
-    The grid is grouped by its integer index. One group holds one prediction per replicate, so its size
-    is a parameter.
+    The lines of a group are one packed array, as many as there are replicates, which is a parameter. It
+    goes to each grid point, where the lines are evaluated and put in order, so no prediction is a row.
     """
-    models = null_safe_join(coefs.select(*by, replicate, "intercept", "slope"), ranges, list(by))
-    # a handful of (formula, stratum) pairs: spread the models before they multiply
-    models = models.repartition(*by, replicate)
-    grid = models.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    lines = coefs.groupBy(*by).agg(F.collect_list(F.struct("intercept", "slope")).alias("_lines"))
+    grid = null_safe_join(lines, ranges, list(by))
+    # a handful of (formula, stratum) pairs: spread the grid points before they are worked on
+    grid = grid.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).repartition(*by, "point")
     at = F.col("min") + (F.col("max") - F.col("min")) * F.col("point") / (points - 1)
-    grid = grid.withColumn("fitted", F.col("intercept") + F.col("slope") * at)
-    # the range is constant per group, so it can travel with the grouping keys
-    band = bounded_quantiles(grid, "fitted", probs, [*by, "point", "min", "max"])
-    low, high = F.col("quantiles")[0], F.col("quantiles")[1]
-    return band.select(
-        *by,
-        "point",
-        at.alias("x"),
-        clamp_negative(low).alias("low"),
-        clamp_negative(high).alias("high"),
-    )
+    values = F.transform("_lines", lambda line: line["intercept"] + line["slope"] * F.col("_at"))
+    ordered = grid.withColumn("_at", at).withColumn("_fitted", F.sort_array(F.filter(values, lambda v: v.isNotNull())))
+    low, high = (clamp_negative(quantile_of(F.col("_fitted"), p)) for p in probs)
+    return ordered.select(*by, "point", F.col("_at").alias("x"), low.alias("low"), high.alias("high"))
 
 
 def coef_long(coefs: DataFrame, metrics: Mapping[str, str] = FORMULA_METRICS) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,13 +69,20 @@ def discard(*kept: DataFrame) -> None:
                 _hadoop(df.sparkSession, path, lambda fs, p: fs.delete(p, True))
 
 
-def release(spark: SparkSession) -> None:
-    """Have shuffle files of finished steps removed now.
+def keep_bucketed(df: DataFrame, by: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """As :func:`keep`, but dealt to buckets by a hash of ``by``, one file each, and sorted by them.
 
-    Spark removes them when the driver collects the plans that made them, which a quiet driver may not do
-    for long; a step that writes much calls this when its plans are out of use.
+    Aggregations and windows over ``by`` then read their groups where they lie, without an exchange or a
+    sort. The table is external and has a name of its own in the session's catalog. The number of buckets
+    is that of shuffle partitions, unless given.
     """
-    spark._jvm.System.gc()
+    spark, by = df.sparkSession, list(by)
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, path = f"panelkit_{uuid.uuid4().hex}", new_path(spark)
+    writer = df.repartition(buckets, *by).write.format("parquet").bucketBy(buckets, *by).sortBy(*by)
+    writer.option("path", path).saveAsTable(name)
+    remove_at_end(spark, path)
+    return spark.table(name)
 
 
 def _hadoop(spark: SparkSession, path: str, act) -> None:

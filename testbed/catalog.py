@@ -356,6 +356,53 @@ def ratio_median(spark, sf):
     return rounded(regress.ratio_median(v.sample(spark, sf)))
 
 
+def study_draws(spark, sf):
+    """How often each row is in one of 5,000 replicates of 500 rows of its stratum."""
+    return v.study_sample(spark, sf).groupBy("veg_type", "id").agg(F.count("sample_id").alias("draws"))
+
+
+def study_coefs(spark, sf):
+    return rounded(regress.fit_sample(v.study_sample(spark, sf)), 6)
+
+
+def _study_residuals(spark, sf):
+    drawn = v.study_sample(spark, sf)
+    return regress.sample_residuals(drawn, regress.fit_sample(drawn))
+
+
+def study_mae(spark, sf):
+    return rounded(regress.mae(_study_residuals(spark, sf)), 6)
+
+
+def study_shown(spark, sf):
+    """The 3,000 residuals of each formula and stratum that the study displays."""
+    key = ["formula", "sample_id", "id"]
+    drawn = resample.sample_per_group(keep(_study_residuals(spark, sf)), ["formula", "veg_type"], v.STUDY_SHOWN, key, v.SEED)
+    return rounded(drawn, 6)
+
+
+def study_band(spark, sf):
+    drawn = v.study_sample(spark, sf)
+    ranges = keep(regress.sample_ranges(drawn))
+    return rounded(regress.confidence_band(regress.fit_sample(drawn), ranges), 6)
+
+
+def study_ratios(spark, sf):
+    return rounded(regress.ratio_median(v.study_sample(spark, sf)))
+
+
+def study_density(spark, sf):
+    rows = keep(regress.ratio_median(v.study_sample(spark, sf)))
+    found = profile.density_profile(rows, ["metric", "veg_type"], "median", points=v.STUDY_POINTS, panel=["metric"])
+    return rounded(found, 6)
+
+
+def study_coef_density(spark, sf):
+    rows = keep(regress.coef_long(regress.fit_sample(v.study_sample(spark, sf))))
+    found = profile.density_profile(rows, ["metric", "term", "veg_type"], "estimate", points=v.STUDY_POINTS, panel=["metric", "term"])
+    return rounded(found, 6)
+
+
 def yearly_missing(spark, sf):
     """A limit below most monthly sums, so that many years have no value left and become 0."""
     daily = v.observations(spark, sf)
@@ -388,7 +435,14 @@ def ecdf_prices(spark, sf):
     return rounded(quantiles.cumulative_share(lines.distinct(), "price", lines, "price", "share"))
 
 
+# At the study's own size SQL is too slow; tests/test_study_size.py holds these against plain versions.
+STUDY_SIZE: dict[str, Query] = {
+    f.__name__: f
+    for f in (study_draws, study_coefs, study_mae, study_shown, study_band, study_ratios, study_density, study_coef_density)
+}
+
 QUERIES: dict[str, Query] = {
+    **STUDY_SIZE,
     "yearly_missing": yearly_missing,
     "nested_panel": nested_panel,
     "station_sources": station_sources,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelkit.functions.labels import CLASS_METRICS, relabel
 from panelkit.operators import classify, design, metrics, regress, resample, reshape
 from panelkit.operators.rollup import enrich_panel
-from panelkit.session import keep
+from panelkit.session import keep, keep_bucketed
 
 START, BASELINE_LEN, RECOVERY_LEN, BASE_YEAR, MAX_DURATION = 1995, 2, 2, 1996, 3
 SOURCES = ("view", "click", "purchase", "signup", "error")
@@ -218,6 +218,22 @@ def study_rows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# The study's own size: replicates, rows of each in a stratum, grid points of densities, rows shown.
+STUDY_REPS, STUDY_SAMPLE, STUDY_POINTS, STUDY_SHOWN = 5000, 500, 512, 3000
+
+_DRAWN: dict[tuple[str, str, int, int], DataFrame] = {}
+
+
+def study_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """Replicates of the study's own size, drawn once in a session and stored in buckets of a sample."""
+    key = (spark.sparkContext.applicationId, sf, STUDY_REPS, STUDY_SAMPLE)
+    if key not in _DRAWN:
+        rows = keep(study_rows(spark, sf))
+        drawn = resample.resample(rows, "veg_type", STUDY_SAMPLE, STUDY_REPS, F.floor(F.col("id") / 4096), ["id", "gpp_impact", "precip_impact"], SEED)
+        _DRAWN[key] = keep_bucketed(drawn, ["sample_id", "veg_type"])
+    return _DRAWN[key]
+
+
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
     return regress.pair_long(sample(spark, sf), complete=True)
 
