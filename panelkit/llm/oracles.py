@@ -161,3 +161,26 @@ WITH every AS (
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
 FROM scored WHERE score > 0 QUALIFY rank <= 50
 """
+
+ORACLES["op10_jaccard_join"] = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct([array_to_string(w[i : i + 3], ' ') FOR i IN range(1, len(w) - 2)])
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM split
+), members AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, a.n + b.n AS both_n, count(*) AS o
+  FROM members a JOIN members b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM common WHERE 100 * o >= 85 * (both_n - o)
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM sets
+  UNION
+  SELECT r.doc_id, l.y FROM reach r JOIN links l ON r.other = l.x
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, min(other) AS component_id
+FROM sets JOIN reach USING (doc_id) GROUP BY doc_id, s
+"""
