@@ -84,9 +84,9 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     sorting the pairs of ranks of its halves. Suffixes that agree with no other are settled and leave.
     Doubling stops at the depth that decides: every run is covered by its shortest stretches of
     ``min_words`` words, a stretch of ``n`` lines is named by the ranks of its first and last power of
-    two, and the suffixes that share a name are an interval of the suffix array whose longest common
-    prefix is at least ``n``. The stretch of the interval's first suffix in the corpus stays, the
-    others are deleted; neighbouring stretches join up to the maximal repeated runs.
+    two, and the suffixes that share a name have a common prefix of at least ``n`` lines. Neither the
+    suffix array as a whole nor the lengths of common prefixes are stored. The stretch that stands first in
+    the corpus stays, the others are deleted; neighbouring stretches join up to the maximal repeated runs.
 
     Rows that repeat key and text are one document and come once. NULL keys sort first; NULL and empty
     texts have one empty line and lose nothing; an empty table gives an empty result. Lines are told by
