@@ -11,8 +11,8 @@ from panelkit.session import keep
 # Shortest repeated run, in words, whose later copies are deleted.
 MIN_WORDS = 50
 
-_LINE = ["_d", "_x", "_i"]  # document and place among its lines with words
-_RUN = ["_d", "_x", "_run"]  # unbroken lines of a document that all occur elsewhere too
+# Rows of a block whose running totals one task works out.
+BLOCK_BITS = 12
 
 
 def _text(text: str) -> Column:
@@ -34,12 +34,6 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     return lines
 
 
-def _ranked(classes: DataFrame, keys: list[str]) -> DataFrame:
-    """Give classes ranks in the order of their keys; ``keys, _rank``."""
-    ordered = classes.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
-    return keep(ordered.withColumn("_rank", F.monotonically_increasing_id()))
-
-
 def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
 
@@ -50,25 +44,141 @@ def _islands(rows: DataFrame, by: list[str], place: str, out: str) -> DataFrame:
     return rows.withColumn(out, F.col(place) - F.row_number().over(order))
 
 
+def _before(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Order groups by their keys and add ``_start``, the sum of ``_n`` over all groups before.
+
+    Totals run inside blocks, over the blocks of a piece and over the pieces, so no task meets more than
+    a block, however the keys are distributed.
+    """
+    ordered = groups.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ordered = keep(ordered.withColumn("_id", F.monotonically_increasing_id()))
+    ordered = ordered.withColumn("_block", F.shiftright("_id", BLOCK_BITS))
+    blocks = ordered.groupBy("_block").agg(F.sum("_n").alias("_sum"))
+    blocks = blocks.withColumn("_piece", F.shiftright("_block", BLOCK_BITS))
+    pieces = blocks.groupBy("_piece").agg(F.sum("_sum").alias("_all"))
+    earlier = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select("_piece", F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_from"))
+    earlier = Window.partitionBy("_piece").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_upto", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).join(pieces, "_piece")
+    blocks = blocks.select("_block", (F.col("_from") + F.col("_upto")).alias("_from"))
+    earlier = Window.partitionBy("_block").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = ordered.withColumn("_upto", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    return inside.join(blocks, "_block").select(*keys, "_n", (F.col("_from") + F.col("_upto")).alias("_start"))
+
+
+def suffix_ranks(symbols: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Suffix array by prefix doubling: every suffix ``_p, _end, _rank``, and the ranks of each level.
+
+    ``symbols`` has a row ``_p, _end, _rank, _n`` per place of the sequences: places of one sequence are
+    consecutive numbers up to ``_end``, ``_rank`` is the number of symbols in all sequences that are smaller than
+    this one, and ``_n`` how often it occurs.
+
+    A rank is the place in the suffix array where the suffixes that agree so far begin. A level doubles
+    the number of symbols looked at: suffixes of one rank are told apart by the rank of what follows, and
+    each part starts where the parts before it end. Who stands alone or has reached the end of the
+    sequence is settled, has its last rank and leaves; suffixes that are equal to their ends share one.
+    The ``k``-th level holds ``_p, _rank`` of the suffixes that agree with another one in ``2 ** k`` symbols.
+    """
+    alone = (F.col("_n") == 1) | (F.col("_next") == -1)
+    settled = [symbols.where("_n = 1").select("_p", "_end", "_rank")]
+    active = symbols.where("_n > 1").select("_p", "_end", "_rank")
+    levels, step = [], 1
+    while True:
+        levels.append(active.where(F.col("_end") - F.col("_p") + 1 >= step).select("_p", "_rank"))
+        if active.isEmpty():
+            break
+        every = active
+        for part in settled:
+            every = every.unionByName(part)
+        ahead = every.select(F.col("_p").alias("_q"), F.col("_rank").alias("_next"))
+        match = (F.col("_p") + step == F.col("_q")) & (F.col("_p") + step <= F.col("_end"))
+        pairs = active.join(ahead, match, "left").withColumn("_next", F.coalesce("_next", F.lit(-1)))
+        pairs = keep(pairs.select("_p", "_end", "_rank", "_next"))
+        parts = keep(pairs.groupBy("_rank", "_next").agg(F.count(F.lit(1)).alias("_n")))
+        parts = keep(_before(parts, ["_rank", "_next"]))
+        bases = parts.groupBy("_rank").agg(F.min("_start").alias("_base"))
+        moved = F.col("_rank") + F.col("_start") - F.col("_base")
+        parts = keep(parts.join(bases, "_rank").select("_rank", "_next", "_n", moved.alias("_new")))
+        named = pairs.join(parts, ["_rank", "_next"]).select("_p", "_end", F.col("_new").alias("_rank"), "_n", "_next")
+        named = keep(named)
+        settled.append(named.where(alone).select("_p", "_end", "_rank"))
+        active = named.where(~alone).select("_p", "_end", "_rank")
+        step *= 2
+    every = settled[0]
+    for part in settled[1:]:
+        every = every.unionByName(part)
+    return keep(every), levels
+
+
+def common_prefixes(ranks: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """Different suffixes in the order of the suffix array: ``_rank, _n, _first, _lcp``.
+
+    ``_n`` suffixes are equal and ``_first`` is the first place of them. As ranks are places in the array, the
+    next suffix has the rank ``_rank + _n``. ``_lcp`` is the number of symbols shared with the suffix before, 0
+    for the first: from the deepest level down, what both agree in is passed and the rest looked up.
+    """
+    least = F.min(F.struct("_p", "_end")).alias("_least")
+    classes = ranks.groupBy("_rank").agg(F.count(F.lit(1)).alias("_n"), least)
+    classes = keep(classes.select("_rank", "_n", F.col("_least._p").alias("_first"), F.col("_least._end").alias("_end")))
+    above = classes.select(
+        (F.col("_rank") + F.col("_n")).alias("_rank"), F.col("_first").alias("_a"), F.col("_end").alias("_a_end")
+    )
+    below = classes.select("_rank", F.col("_first").alias("_b"), F.col("_end").alias("_b_end"))
+    pairs = keep(above.join(below, "_rank").withColumn("_lcp", F.lit(0).cast("bigint")))
+    for k in reversed(range(len(levels))):
+        for side in ("_a", "_b"):
+            level = levels[k].select(F.col("_p").alias(f"{side}_p"), F.col("_rank").alias(f"{side}_rank"))
+            at = F.col(side) + F.col("_lcp")
+            pairs = pairs.join(level, (at == F.col(f"{side}_p")) & (at <= F.col(f"{side}_end")), "left")
+        more = F.when(F.col("_a_rank") == F.col("_b_rank"), 2**k).otherwise(0)
+        pairs = keep(pairs.select("_rank", "_a", "_a_end", "_b", "_b_end", (F.col("_lcp") + more).alias("_lcp")))
+    found = classes.drop("_end").join(pairs.select("_rank", "_lcp"), "_rank", "left")
+    return found.withColumn("_lcp", F.coalesce("_lcp", F.lit(0)))
+
+
+def _intervals(windows: DataFrame) -> DataFrame:
+    """Add ``_from``, the rank where the interval of common prefixes of ``_len`` that holds a row begins.
+
+    Rows are ``_rank, _lcp, _len`` and more. An interval begins where the suffix before shares less than
+    ``_len`` lines. All suffixes of an interval have the same stretches, so they follow each other here
+    too, and the beginning is the last one so far: inside a block of ranks, or else in blocks before.
+    """
+    begins = F.when(F.col("_lcp") < F.col("_len"), F.col("_rank"))
+    rows = windows.withColumns({"_begin": begins, "_block": F.shiftright("_rank", BLOCK_BITS)})
+    rows = keep(rows)
+    blocks = rows.groupBy("_len", "_block").agg(F.max("_begin").alias("_last"))
+    blocks = blocks.withColumn("_piece", F.shiftright("_block", BLOCK_BITS))
+    pieces = blocks.groupBy("_len", "_piece").agg(F.max("_last").alias("_last"))
+    earlier = Window.partitionBy("_len").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select("_len", "_piece", F.max("_last").over(earlier).alias("_far"))
+    earlier = Window.partitionBy("_len", "_piece").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_near", F.max("_last").over(earlier)).join(pieces, ["_len", "_piece"])
+    blocks = blocks.select("_len", "_block", F.greatest("_near", "_far").alias("_before"))
+    here = Window.partitionBy("_len", "_block").orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.withColumn("_here", F.max("_begin").over(here)).join(blocks, ["_len", "_block"])
+    found = inside.withColumn("_from", F.greatest("_here", "_before"))
+    return found.drop("_begin", "_block", "_here", "_before")
+
+
 def _windows(active: DataFrame, min_words: int) -> DataFrame:
-    """Shortest stretches of enough words: from each line on, and up to each line: ``_run.., _i, _len``."""
-    by = Window.partitionBy(*_RUN)
-    upto = by.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    ends = active.withColumn("_end", F.sum("_w").over(upto))
-    ends = ends.withColumn("_from", F.col("_end") - F.col("_w"))
+    """Shortest stretches of enough words: from each line on, and up to each line: ``_p, _len``."""
+    by = Window.partitionBy("_end")
+    upto = by.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    ends = active.withColumn("_to", F.sum("_w").over(upto))
+    ends = ends.withColumn("_from", F.col("_to") - F.col("_w"))
     ahead = F.count(F.lit(1)).over(by.orderBy("_from").rangeBetween(0, min_words - 1))
-    back = F.count(F.lit(1)).over(by.orderBy("_end").rangeBetween(1 - min_words, 0))
-    total = F.max("_end").over(by)
-    sized = ends.select(*_RUN, "_i", "_end", "_from", ahead.alias("_ahead"), back.alias("_back"), total.alias("_total"))
+    back = F.count(F.lit(1)).over(by.orderBy("_to").rangeBetween(1 - min_words, 0))
+    total = F.max("_to").over(by)
+    sized = ends.select("_p", "_to", "_from", ahead.alias("_ahead"), back.alias("_back"), total.alias("_total"))
     forward = F.when(
-        F.col("_total") - F.col("_from") >= min_words, F.struct(F.col("_i"), F.col("_ahead").alias("_len"))
+        F.col("_total") - F.col("_from") >= min_words, F.struct(F.col("_p"), F.col("_ahead").alias("_len"))
     )
     backward = F.when(
-        F.col("_end") >= min_words,
-        F.struct((F.col("_i") - F.col("_back") + 1).alias("_i"), F.col("_back").alias("_len")),
+        F.col("_to") >= min_words,
+        F.struct((F.col("_p") - F.col("_back") + 1).alias("_p"), F.col("_back").alias("_len")),
     )
     both = F.array_distinct(F.array_compact(F.array(forward, backward)))
-    return sized.select(*_RUN, F.inline(both)).distinct()
+    return sized.select(F.inline(both)).distinct()
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -79,14 +189,12 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     earlier in the corpus: in a document with a smaller key, or further up in the same one. What stands
     first is never removed. ``removed_lines`` are places in the text split at newlines, from 0.
 
-    Lines are numbered, and suffixes of the documents' line sequences are ranked by their first 1, 2, 4,
-    … lines by prefix doubling: a class of suffixes that agree in so many lines gets its rank from
-    sorting the pairs of ranks of its halves. Suffixes that agree with no other are settled and leave.
-    Doubling stops at the depth that decides: every run is covered by its shortest stretches of
-    ``min_words`` words, a stretch of ``n`` lines is named by the ranks of its first and last power of
-    two, and the suffixes that share a name have a common prefix of at least ``n`` lines. Neither the
-    suffix array as a whole nor the lengths of common prefixes are stored. The stretch that stands first in
-    the corpus stays, the others are deleted; neighbouring stretches join up to the maximal repeated runs.
+    Lines are numbered; one that occurs once breaks the sequence. :func:`suffix_ranks` builds the suffix
+    array over the sequences, :func:`common_prefixes` the longest common prefixes of neighbours. Every run
+    is covered by its shortest stretches of ``min_words`` words; the copies of a stretch of ``n`` lines
+    are the interval of the array whose common prefixes have ``n`` lines or more. The one that stands
+    first in the corpus stays, the others are deleted, and neighbouring stretches join up to the maximal
+    repeated runs.
 
     Rows that repeat key and text are one document and come once. NULL keys sort first; NULL and empty
     texts have one empty line and lose nothing; an empty table gives an empty result. Lines are told by
@@ -97,30 +205,29 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     place = Window.partitionBy("_d", "_x").orderBy("_pos")
     lines = keep(lines.withColumn("_i", F.row_number().over(place).cast("bigint")))
 
-    # rank of single lines; what occurs once cannot be in a repeated run and breaks the sequence
-    ranks = _ranked(_repeated(lines, ["_h1", "_h2"]), ["_h1", "_h2"])
-    active = lines.join(ranks, ["_h1", "_h2"]).select(*_LINE, "_pos", "_w", "_rank")
-    active = keep(_islands(active, ["_d", "_x"], "_i", "_run"))
-    waiting = keep(_windows(active, min_words))
-    level = active.select(*_RUN, "_i", "_rank")
-    found = None
-    step = 1
-    while True:
-        named = _named(waiting.where((F.col("_len") >= step) & (F.col("_len") < 2 * step)), level, step)
-        later = keep(_later_copies(named))
-        found = later if found is None else found.unionByName(later)
-        waiting = waiting.where(F.col("_len") >= 2 * step)
-        if waiting.isEmpty():
-            break
-        ahead = Window.partitionBy(*_RUN).orderBy("_i").rangeBetween(step, step)
-        pairs = level.withColumn("_next", F.max("_rank").over(ahead)).where("_next IS NOT NULL")
-        pairs = keep(pairs.withColumnRenamed("_rank", "_first"))
-        ranks = _ranked(_repeated(pairs, ["_first", "_next"]), ["_first", "_next"])
-        level = keep(pairs.join(ranks, ["_first", "_next"]).select(*_RUN, "_i", "_rank"))
-        step *= 2
-
-    gone = found.select("_d", "_x", F.explode(F.sequence("_i", F.col("_i") + F.col("_len") - 1)).alias("_i")).distinct()
-    gone = _same(active, gone, _LINE, "left_semi")
+    # what occurs once cannot be in a repeated run and breaks the sequence
+    symbols = keep(_before(keep(_repeated(lines, ["_h1", "_h2"])), ["_h1", "_h2"]))
+    active = lines.join(symbols, ["_h1", "_h2"])
+    active = active.select("_d", "_x", "_i", "_pos", "_w", F.col("_start").alias("_rank"), "_n")
+    active = _islands(active, ["_d", "_x"], "_i", "_run")
+    # places in the order of the corpus; a document stays in one partition, so its places are consecutive
+    active = keep(active).repartitionByRange("_d", "_x").sortWithinPartitions("_d", "_x", "_i")
+    active = keep(active.withColumn("_p", F.monotonically_increasing_id()))
+    run = Window.partitionBy("_d", "_x", "_run")
+    active = keep(active.withColumn("_end", F.max("_p").over(run)).drop("_run", "_i"))
+
+    ranks, levels = suffix_ranks(active.select("_p", "_end", "_rank", "_n"))
+    classes = keep(common_prefixes(ranks, levels))
+    stretches = _windows(active, min_words).join(classes, F.col("_p") == F.col("_first")).drop("_p")
+    stretches = keep(_intervals(stretches))
+    copies = stretches.groupBy("_len", "_from").agg(F.min("_first").alias("_stays"), F.sum("_n").alias("_copies"))
+    copies = stretches.select("_rank", "_len", "_from").join(copies.where("_copies > 1"), ["_len", "_from"])
+    # both sides are stored tables, so adaptive execution can split the suffix that very many share
+    later = ranks.select("_rank", "_p").join(keep(copies.select("_rank", "_len", "_stays")), "_rank")
+    later = later.where("_p <> _stays").groupBy("_p").agg(F.max("_len").alias("_len"))
+
+    gone = later.select(F.explode(F.sequence("_p", F.col("_p") + F.col("_len") - 1)).alias("_p")).distinct()
+    gone = active.join(gone, "_p", "left_semi")
     per_doc = gone.groupBy("_d", "_x").agg(F.sort_array(F.collect_list("_pos")).alias("_gone"))
     every = docs.select(
         F.col(key).alias("_d"), F.xxhash64(_text(text)).alias("_x"), F.size(F.split(_text(text), "\n")).alias("n_lines")
@@ -140,25 +247,6 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataF
     return joined if how == "left_semi" else joined.drop(*[f"_r{k}" for k in keys])
 
 
-def _named(windows: DataFrame, level: DataFrame, step: int) -> DataFrame:
-    """Name stretches of ``step`` to ``2 * step - 1`` lines by the ranks of their first and last ``step``."""
-    first = level.withColumnsRenamed({"_rank": "_a"})
-    last = level.withColumnsRenamed({"_rank": "_b"})
-    named = _same(windows, first, [*_RUN, "_i"], "inner")
-    named = named.withColumn("_j", F.col("_i") + F.col("_len") - step)
-    return _same(named, last.withColumnRenamed("_i", "_j"), [*_RUN, "_j"], "inner").drop("_j")
-
-
-def _later_copies(named: DataFrame) -> DataFrame:
-    """Stretches that are not the first of their name: ``_d, _x, _i, _len``."""
-    where = F.struct(*_LINE)
-    named = keep(named)
-    first = named.groupBy("_len", "_a", "_b").agg(F.min(where).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    # both sides are stored tables, so adaptive execution can split the name that very many share
-    joined = named.join(keep(first.where("_n > 1")), ["_len", "_a", "_b"])
-    return joined.where(~where.eqNullSafe(F.col("_first"))).select(*_LINE, "_len")
-
-
 def drop_repeated_lines(
     docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS
 ) -> DataFrame:
