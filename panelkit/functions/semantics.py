@@ -57,6 +57,21 @@ def sort_key(v: Column) -> Column:
     return bits * F.signum(v).cast("bigint")
 
 
+def packed_pair(value: Column, at: Column) -> Column:
+    """``(value, at)`` as one DECIMAL of fixed width that is ordered as the pair is.
+
+    ``value`` is a double that is neither NULL nor NaN, ``at`` an integer of 32 bits. The minimum of a
+    struct is sort-based, as its buffer has no fixed width; that of this number is hash-aggregated.
+    """
+    image = sort_key(value).cast("decimal(19,0)") * F.lit(1 << 32).cast("decimal(10,0)")
+    return (image + (at.cast("bigint") + (1 << 31)).cast("decimal(10,0)")).cast("decimal(38,0)")
+
+
+def packed_at(pair: Column) -> Column:
+    """The second part of :func:`packed_pair`."""
+    return (F.pmod(pair, F.lit(1 << 32).cast("decimal(38,0)")).cast("bigint") - (1 << 31)).cast("int")
+
+
 def search_sorted(df, value: str, points: list[float], out: str):
     """Add ``out``: how many of the ascending ``points`` are smaller than ``value``.
 

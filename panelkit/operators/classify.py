@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from panelkit.functions.labels import CLASS_METRICS, CLASSES, CONDITIONS, ordinal, relabel
 from panelkit.functions.semantics import nan_to_null
+from panelkit.operators.keys import join_unique, match_keys
 from panelkit.operators.quantiles import cumulative_share, quantile_values
 from panelkit.operators.reshape import to_long
+from panelkit.session import settle
 
 # fixed values of the study
 PROBS = (0.05, 0.40, 0.60, 0.95)
@@ -74,13 +76,13 @@ def class_summary(classified: DataFrame, stations: Column) -> DataFrame:
 def class_distance(classified: DataFrame, summary: DataFrame, reference: str) -> DataFrame:
     """Distance of the reference source's years to the station statistics of their condition.
 
-    Normal years are compared with the mean only. The summary has one row per condition, three at most.
+    Normal years are compared with the mean only. The summary is broadcast after its rows are counted.
     """
     rows = classified.where(
         (F.col("Source") == reference) & F.col("Condition").isNotNull() & F.col("Precip").isNotNull()
     ).select("Year", "Condition", F.col("Precip").alias("reference"))
     edge = F.col("Condition") != "Normal"
-    return rows.join(F.broadcast(summary), "Condition").select(
+    return rows.join(settle(summary)[0], "Condition").select(
         "Year",
         "Condition",
         "reference",
@@ -124,11 +126,10 @@ def year_report(
 
     ``class_years`` has one row per class (``Class, Year``) and every join is by class or year.
     """
-    chosen = distances.select("Year", F.col("reference").alias("GLDAS")).join(
-        F.broadcast(class_years.select("Class", "Year")), "Year"
-    )
+    years = settle(class_years.select("Class", "Year"))[0]
+    chosen = distances.select("Year", F.col("reference").alias("GLDAS")).join(years, "Year")
     ranked = ecdf_rank(chosen, "GLDAS", sample)
-    stations = F.broadcast(targets.select("Class", F.col("Precip").alias("Stations"), "Metric"))
+    stations = settle(targets.select("Class", F.col("Precip").alias("Stations"), "Metric"))[0]
     return (
         ranked.join(stations, "Class")
         .select("Class", "Year", "GLDAS", "Stations", "Metric", "Quantile")
@@ -139,20 +140,19 @@ def year_report(
 def year_classes(class_years: DataFrame, classified: DataFrame, reference: str) -> DataFrame:
     """Chosen years with the reference source's value, in class order."""
     values = classified.where(F.col("Source") == reference).select("Year", "Precip")
-    return class_years.join(values, "Year", "left").select("Class", "Year", "Precip").orderBy(
-        ordinal(F.col("Class"), CLASSES)
-    )
+    found = join_unique(class_years.select("Class", "Year"), values, ["Year"], "years of the reference")
+    return found.select("Class", "Year", "Precip").orderBy(ordinal(F.col("Class"), CLASSES))
 
 
 def enrich_subperiods(sub: DataFrame, classified: DataFrame) -> DataFrame:
     """Attach the condition of the whole period to its parts; periods without parts drop out."""
-    return sub.join(classified.drop("Precip"), ["Source", "Year"])
+    return join_unique(sub, classified.drop("Precip"), ["Source", "Year"], "whole periods", "inner")
 
 
 def highlight_series(enriched: DataFrame, class_years: DataFrame, reference: str) -> DataFrame:
     """Parts of the chosen years of the reference source, complete rows only."""
     rows = enriched.where(F.col("Source") == reference)
-    return rows.join(class_years.select("Year", "Class"), "Year", "left").dropna("any")
+    return match_keys(rows, class_years.select("Year", "Class"), ["Year"], "left").dropna("any")
 
 
 def station_year_classes(classified: DataFrame, years: DataFrame, stations: Column) -> DataFrame:
@@ -162,4 +162,4 @@ def station_year_classes(classified: DataFrame, years: DataFrame, stations: Colu
     """
     left = classified.where(stations).dropna("any").withColumnRenamed("Precip", "Precip_01")
     right = years.select("Year", "Class", F.col("Precip").alias("Precip_02"))
-    return left.join(right, "Year", "left")
+    return match_keys(left, right, ["Year"], "left")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelkit.operators.keys import match_keys
 from panelkit.operators.reshape import code, to_long
 
 # fixed values of the study design
@@ -61,7 +62,7 @@ def schedule_long(
     """
     long = to_long(schedule, [scenario], slots, "Time", "Year")
     label = F.concat(F.translate(scenario, "s_", "S["), F.lit("]"))
-    return long.join(classes.select("Year", "Class"), "Year", "left").select(
+    return match_keys(long, classes.select("Year", "Class"), ["Year"], "left").select(
         label.alias("Scen"),
         F.regexp_replace("Time", "X", "").cast("int").alias("Time"),
         "Year",

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.functions.labels import METRICS, RECOVERY_ORDER, VARIABLES, VEGETATION, ordinal, relabel
-from panelkit.functions.semantics import nan_to_null, ratio
+from panelkit.functions.semantics import nan_to_null, packed_at, packed_pair, ratio
+from panelkit.operators.keys import join_unique, marked_years, match_keys, refuse, year_marks
 from panelkit.operators.reshape import to_long
 
 KEYS = ("scenario", "x", "y")
@@ -57,10 +58,8 @@ def impact_min(
 ) -> DataFrame:
     """Lowest impact value and its year; the earliest year wins a tie."""
     rows = panel_long(panel.where(F.col("period") == "impact"), keys, variables).dropna(subset=["value"])
-    low = F.min(F.struct("value", "year")).alias("low")
-    return rows.groupBy(*keys, "variable").agg(low).select(
-        *keys, "variable", F.col("low.value").alias("s_ti1"), F.col("low.year").alias("ti1")
-    )
+    low = F.min(packed_pair(F.col("value"), F.col("year")))
+    return rows.groupBy(*keys, "variable").agg(F.min("value").alias("s_ti1"), packed_at(low).alias("ti1"))
 
 
 def impact_last(
@@ -90,7 +89,7 @@ def recovery_point(
     """
     rows = panel_long(panel.where(F.col("period") == "recovery"), keys, variables)
     if mode == "threshold":
-        rows = rows.join(base, [*keys, "variable"]).where(F.col("value") >= margin * F.col("s_to"))
+        rows = match_keys(rows, base, [*keys, "variable"]).where(F.col("value") >= margin * F.col("s_to"))
     elif mode != "first":
         raise ValueError("mode must be 'first' or 'threshold'")
     return rows.groupBy(*keys, "variable").agg(
@@ -124,6 +123,7 @@ def _state_aggregates(
     max_duration: int | None,
     recovery_len: int | None,
     mode: str,
+    margin: float,
     on_zero: str,
 ) -> list[Column]:
     """Aggregates of one variable. All buffers are plain numbers, so Spark hash-aggregates them."""
@@ -135,15 +135,15 @@ def _state_aggregates(
         _cv(value, period.isin(*LABELLED), on_zero).alias(f"{v}.stability"),
     ]
     if max_duration is None:
-        low = F.min(F.when(impact & value.isNotNull(), F.struct(value.alias("value"), year.alias("year"))))
-        aggs.append(low.alias(f"{v}.low"))
+        lows = F.when(impact & value.isNotNull(), packed_pair(value, year))
+        aggs += [F.min(F.when(impact, value)).alias(f"{v}.s_ti1"), packed_at(F.min(lows)).alias(f"{v}.ti1")]
     else:
         aggs += [F.max(F.when(impact & (at == j), value)).alias(f"{v}.i{j}") for j in range(max_duration)]
     if mode == "first":
         aggs.append(F.min_by(value, F.when(recovery, year)).alias(f"{v}.s_tr"))
     elif recovery_len is None:
-        seen = F.when(recovery & value.isNotNull(), F.struct(year.alias("year"), value.alias("value")))
-        aggs.append(F.sort_array(F.collect_list(seen)).alias(f"{v}.seen"))
+        hit = F.when(recovery & (value >= margin * F.col(f"`{v}.base`")), year)
+        aggs += [F.min_by(value, hit).alias(f"{v}.s_tr"), F.min(hit).alias(f"{v}.tr")]
     else:
         aggs += [F.max(F.when(recovery & (at == j), value)).alias(f"{v}.r{j}") for j in range(recovery_len)]
     return aggs
@@ -168,7 +168,7 @@ def _states(
         return F.col(f"`{v}.{name}`")
 
     if max_duration is None:
-        s_ti1, ti1 = agg("low")["value"], agg("low")["year"]
+        s_ti1, ti1 = agg("s_ti1"), agg("ti1")
     else:
         years = [agg(f"i{j}") for j in range(max_duration)]
         low = F.least(*years) if len(years) > 1 else years[0]
@@ -176,9 +176,7 @@ def _states(
     if mode == "first":
         s_tr, tr = agg("s_tr"), F.col("_recovery_first")
     elif recovery_len is None:
-        # one row per recovery year of one key; the years are a property of the design
-        hits = F.filter(agg("seen"), lambda r: r["value"] >= margin * agg("s_to"))
-        s_tr, tr = F.get(hits, 0)["value"], F.get(hits, 0)["year"]
+        s_tr, tr = agg("s_tr"), agg("tr")
     else:
         years = [agg(f"r{j}") for j in range(recovery_len)]
         s_tr, tr = _first_hit(years, lambda c: c >= margin * agg("s_to"), F.col("_recovery_start"))
@@ -222,29 +220,38 @@ def resilience_metrics(
     """States and components of all variables in one aggregation over the labelled panel.
 
     The panel stays wide until after the shuffle: all variables of a key share one row per year and one
-    aggregation group, and the few result rows are turned long at the end. ``(keys, year)`` must be
-    unique. ``carry`` names attributes that are constant per key; they travel as grouping keys, which
+    aggregation group, and the few result rows are turned long at the end. A labelled year that a key
+    repeats, or that is NULL, raises an error: the aggregation marks the years it has seen in four numbers,
+    enough for spans of less than 256 years. ``carry`` names attributes that are constant per key; they travel as grouping keys, which
     saves the join of :func:`enrich_metrics`. Impacts longer than ``max_duration`` years raise an error,
-    and in threshold mode recoveries longer than ``recovery_len`` years; pass ``None`` for any length, at
-    the price of a sort-based aggregation.
+    and in threshold mode recoveries longer than ``recovery_len`` years; pass ``None`` for any length. All
+    buffers keep their fixed width then too; the threshold needs the baseline of a key beside each of its
+    rows, which a window over the same keys puts there before the aggregation, in the same exchange.
     """
     if mode not in ("first", "threshold"):
         raise ValueError("mode must be 'first' or 'threshold'")
     labelled = panel.select(*keys, *carry, "period", "year", "phase_year", *variables)
     labelled = labelled.withColumns({v: nan_to_null(F.col(v).cast("double")) for v in variables})
     impact, recovery = F.col("period") == "impact", F.col("period") == "recovery"
+    if mode == "threshold" and recovery_len is None:
+        group = Window.partitionBy(*keys, *carry)
+        base = {f"{v}.base": F.max(F.when(F.col("year") == base_year, F.col(v))).over(group) for v in variables}
+        labelled = labelled.withColumns(base)
     start = F.col("year") - F.col("phase_year")
+    counted = F.col("period").isin(*LABELLED) | F.coalesce(F.col("year") == base_year, F.lit(False))
     aggs = [
         F.max(F.when(impact, start)).alias("_impact_start"),
         F.max(F.when(impact, F.col("year"))).alias("_impact_last"),
         F.max(F.when(recovery, start)).alias("_recovery_start"),
         F.min(F.when(recovery, F.col("year"))).alias("_recovery_first"),
         F.max(F.when(recovery, F.col("phase_year"))).alias("_recovery_end"),
-        F.count(F.when(F.col("period").isin(*LABELLED) | (F.col("year") == base_year), 1)).alias("_rows"),
+        F.count(F.when(counted, 1)).alias("_rows"),
+        *year_marks(F.col("year"), counted, base_year),
     ]
     for v in variables:
-        aggs += _state_aggregates(v, base_year, max_duration, recovery_len, mode, on_zero)
+        aggs += _state_aggregates(v, base_year, max_duration, recovery_len, mode, margin, on_zero)
     wide = labelled.groupBy(*keys, *carry).agg(*aggs).where(F.col("_rows") > 0)
+    wide = refuse(wide, F.col("_rows") != marked_years(), "a key repeats a year or lacks it", keys)
     if max_duration is not None:
         too_long = F.col("_impact_last") - F.col("_impact_start") >= max_duration
         message = F.lit(f"an impact lasts longer than max_duration = {max_duration} years")
@@ -270,8 +277,12 @@ def enrich_metrics(
     keys: Sequence[str] = KEYS,
     dimensions: Sequence[str] = DIMENSIONS,
 ) -> DataFrame:
-    """Inner join of the metrics with the distinct cell and scenario attributes of the panel."""
-    return metrics.join(panel.select(*keys, *dimensions).distinct(), list(keys))
+    """Inner join of the metrics with the distinct cell and scenario attributes of the panel.
+
+    NULL keys match each other. Attributes that change within a key raise an error.
+    """
+    found = panel.select(*keys, *dimensions).distinct()
+    return join_unique(metrics, found, list(keys), "attributes", "inner")
 
 
 def cohort(

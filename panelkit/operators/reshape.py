@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.functions.labels import METRICS, VARIABLES
+from panelkit.operators.keys import refuse
 
 
 def to_long(
@@ -25,16 +26,22 @@ def to_wide(
     levels: Sequence[str],
     label: str = "{level}",
 ) -> DataFrame:
-    """One column per level of ``name`` and value column; ``(ids, name)`` must be unique.
+    """One column per level of ``name`` and value column; a repeated ``(ids, name)`` raises an error.
 
-    Conditional maxima do this in one hash aggregation, where ``pivot`` needs two shuffles.
+    Conditional maxima do this in one hash aggregation, where ``pivot`` needs two shuffles, and count the
+    rows of each level as they go.
     """
+    counts = [F.count(F.when(F.col(name) == level, 1)).alias(f"_rows_{i}") for i, level in enumerate(levels)]
+    repeated = F.lit(False)
+    for i in range(len(counts)):
+        repeated = repeated | (F.col(f"_rows_{i}") > 1)
     cells = [
         F.max(F.when(F.col(name) == level, F.col(v))).alias(label.format(level=level, value=v))
         for level in levels
         for v in values
     ]
-    return df.groupBy(*ids).agg(*cells)
+    wide = refuse(df.groupBy(*ids).agg(*cells, *counts), repeated, f"rows repeat a level of {name}", ids)
+    return wide.drop(*[f"_rows_{i}" for i in range(len(counts))])
 
 
 def metrics_wide(

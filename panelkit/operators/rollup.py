@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelkit.operators.keys import full_by_key, join_unique
 from panelkit.operators.numbering import number_rows
 
 CELL_KEYS = ("id", "x", "y")
@@ -76,14 +76,19 @@ def cell_id(cells: DataFrame, out: str = "id") -> DataFrame:
 
 
 def cell_attributes(*tables: DataFrame, keys: Sequence[str] = CELL_KEYS) -> DataFrame:
-    """Full join of attribute tables on the cell keys."""
-    return reduce(lambda a, b: a.join(b, list(keys), "full"), tables)
+    """Full join of attribute tables on the cell keys, in one exchange.
+
+    NULL keys match each other. A key that one table repeats raises an error when the job meets it.
+    """
+    return full_by_key(tables, list(keys))
 
 
 def enrich_panel(panel: DataFrame, scenarios: DataFrame, cells: DataFrame) -> DataFrame:
     """Attach scenario factors and cell attributes; rows without a match keep NULLs.
 
-    The scenario table is small by design and broadcast on a checked row count upstream if wanted. The
-    cell table grows with the grid, so its join strategy is left to the optimizer.
+    NULL keys match each other. Both attribute tables have one row per key; a repeated one, which would
+    multiply panel rows, raises an error. The cell table grows with the grid, so its join strategy is
+    left to the optimizer.
     """
-    return panel.join(scenarios, "scenario", "left").join(cells, ["x", "y"], "left")
+    rows = join_unique(panel, scenarios, ["scenario"], "scenarios")
+    return join_unique(rows, cells, ["x", "y"], "cells")

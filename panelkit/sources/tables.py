@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelkit.functions.labels import CLASS_YEARS
 from panelkit.functions.semantics import nan_to_null
+from panelkit.operators.keys import match_keys
+from panelkit.session import keep, settle
 
 # fixed values: column names of the input files
 ANNUAL_SCHEMA = "Year INT, Petrolina DOUBLE, Juazeiro DOUBLE, GLDAS2_0 DOUBLE, GLDAS2_1 DOUBLE"
@@ -17,6 +19,8 @@ MONTHLY_SCHEMA = (
     "Year INT, Month STRING, Petrolina DOUBLE, Juazeiro DOUBLE, GLDAS2_0 DOUBLE, GLDAS2_1 DOUBLE"
 )
 GRID_FILE = r"([^/]+)/([0-9]{10})\.[^/]*$"
+# Size that packed files are given.
+FILE_BYTES = 128 << 20
 SCENARIO_FILE = r"([^/]+?)(?:\.[A-Za-z0-9]+)?$"
 
 
@@ -126,6 +130,49 @@ def write_by_scenario(df: DataFrame, path: str, mode: str = "errorifexists") ->
     df.hint("rebalance", "scenario").write.mode(mode).partitionBy("scenario").parquet(path)
 
 
+def replace_scenarios(df: DataFrame, path: str) -> None:
+    """Write scenarios over those of the same name; the folders of all others stay as they are.
+
+    New files are complete before the old ones of their scenario go, and a scenario without rows in
+    ``df`` is not touched, so one scenario can be run again and the rest of the table kept.
+    """
+    writer = df.hint("rebalance", "scenario").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("scenario").parquet(path)
+
+
+def scenario_files(spark: SparkSession, path: str) -> DataFrame:
+    """Number of files and bytes of each scenario of a written table; no column is read."""
+    files = read_panel(spark, path).select(
+        "scenario", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")
+    )
+    one = files.groupBy("scenario", "file").agg(F.max("bytes").alias("bytes"))
+    return one.groupBy("scenario").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
+
+
+def pack_by_scenario(
+    spark: SparkSession, source: str, path: str, file_bytes: int = FILE_BYTES, mode: str = "errorifexists"
+) -> None:
+    """Rewrite a table that was written by scenario into files of about ``file_bytes`` each.
+
+    A scenario gets as many files as its bytes ask for, and every file is written by a task of its own,
+    so neither many small files nor one that holds most of the data stay. Rows are dealt to the files of
+    their scenario by a hash of the whole row; a task that runs again deals them alike. ``path`` must be
+    a new folder, so the old table stays whole until the new one is complete.
+    """
+    wanted = F.greatest(F.ceil(F.col("bytes") / file_bytes), F.lit(1)).cast("bigint")
+    sizes = keep(scenario_files(spark, source).select("scenario", wanted.alias("_files")))
+    total = sizes.agg(F.sum("_files")).first()[0] or 1
+    # one row for each scenario, so the running sum is over a table of the design's size
+    before = Window.orderBy("scenario").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sizes.withColumn("_first", F.coalesce(F.sum("_files").over(before), F.lit(0)))
+    placed, _ = settle(placed)
+    rows = spark.read.schema(read_panel(spark, source).schema).parquet(source)
+    dealt = match_keys(rows, placed, ["scenario"])
+    at = F.col("_first") + F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.col("_files"))
+    dealt = dealt.repartitionById(int(total), at.cast("int")).drop("_first", "_files")
+    dealt.write.mode(mode).partitionBy("scenario").parquet(path)
+
+
 def store(df: DataFrame, path: str) -> DataFrame:
     """Write a table and read it back, so that later results start from the files."""
     df.write.mode("errorifexists").parquet(path)

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from panelkit.functions.labels import WIDE_METRICS
 from panelkit.operators import classify, design, metrics, profile, quantiles, regress, resample
 from panelkit.operators import reshape, rollup
-from panelkit.session import keep
-from panelkit.sources.tables import grid_file_keys, grid_years
+from panelkit.session import keep, new_path, remove_at_end
+from panelkit.sources.tables import grid_file_keys, grid_years, pack_by_scenario, read_panel, read_schedule
+from panelkit.sources.tables import read_wide_series, replace_scenarios, write_by_scenario
 from testbed import views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +60,44 @@ def resilience(spark, sf):
     return rounded(v.resilience(spark, sf))
 
 
+def resilience_any_length(spark, sf):
+    found = metrics.resilience_metrics(
+        v.labelled(spark, sf), base_year=v.BASE_YEAR, mode="threshold", recovery_len=None, max_duration=None
+    )
+    return rounded(found)
+
+
+def annual_file(spark, sf):
+    """The annual series written as a CSV with a header and read back."""
+    path = new_path(spark, "csv")
+    v.annual_wide(spark, sf).write.csv(path, header=True, nullValue="NA")
+    remove_at_end(spark, path)
+    schema = "Year INT, " + ", ".join(f"{s} DOUBLE" for s in v.SOURCES)
+    return rounded(classify.series_long(read_wide_series(spark, path, schema), ["Year"], v.SOURCES))
+
+
+def schedule_file(spark, sf):
+    """The schedule written without a header, its first field the scenario, and read back."""
+    path = new_path(spark, "csv")
+    v.schedule(spark, sf).write.csv(path, header=False, nullValue="NA")
+    remove_at_end(spark, path)
+    return read_schedule(spark, path, slots=7, scenario_column=True)
+
+
+def panel_written(spark, sf):
+    """The panel written by scenario, those with droughts of two years run again, then packed and read back."""
+    first, packed = new_path(spark, "panel"), new_path(spark, "panel")
+    rows = keep(v.panel(spark, sf))
+    write_by_scenario(rows, first)
+    remove_at_end(spark, first)
+    chosen = v.scenarios(spark, sf).where("drought_duration = 2").select("scenario")
+    again = rows.join(chosen, "scenario", "left_semi").withColumn("gpp", F.col("gpp") * 2)
+    replace_scenarios(again.select(*rows.columns), first)
+    pack_by_scenario(spark, first, packed)
+    remove_at_end(spark, packed)
+    return rounded(read_panel(spark, packed))
+
+
 def resilience_threshold(spark, sf):
     return rounded(v.resilience(spark, sf, "threshold"))
 
@@ -457,6 +496,10 @@ QUERIES: dict[str, Query] = {
     "stability": stability,
     "metrics": resilience,
     "metrics_threshold": resilience_threshold,
+    "metrics_any_length": resilience_any_length,
+    "annual_file": annual_file,
+    "schedule_file": schedule_file,
+    "panel_written": panel_written,
     "grid_explode": grid_explode,
     "grid_monthly": grid_monthly,
     "outlier_null": outlier_null,

@@ -458,6 +458,20 @@ ORACLES: dict[str, str] = {
     "stability": sql(f"SELECT scenario, x, y, variable, {r('stability')} FROM k_stab", "k_stab"),
     "metrics": sql(f"SELECT {_found} FROM found", "found"),
     "metrics_threshold": sql(f"SELECT {_found} FROM found_thr", "found_thr"),
+    "metrics_any_length": sql(f"SELECT {_found} FROM found_thr", "found_thr"),
+    "annual_file": sql(f"SELECT Year, Source, {r('Precip')} FROM series", "series"),
+    "schedule_file": """SELECT 'scen_' || lpad(CAST(user_id % 49 + 1 AS VARCHAR), 2, '0') AS scen, """
+    + ", ".join(
+        f"CAST(max(CASE WHEN event_id % 7 = {i} THEN day(ts) END) AS INTEGER) AS X{i + 1}" for i in range(7)
+    )
+    + " FROM events GROUP BY 1",
+    "panel_written": sql(
+        """SELECT scenario, x, y, year, round(precip, 8) AS precip,
+                  round(CASE WHEN drought_duration = 2 THEN 2 * gpp ELSE gpp END, 8) AS gpp
+           FROM panel JOIN scen USING (scenario)""",
+        "panel",
+        "scen",
+    ),
     "grid_explode": """SELECT vec_id, label, CAST((i - 1) % 8 AS INTEGER) AS x,
                               CAST((i - 1) // 8 AS INTEGER) AS y, round(CAST(embedding[i] AS DOUBLE), 8) AS v
                        FROM (SELECT *, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)""",
