@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkit.operators.numbering import _numbered, block_starts, null_safe_join
+from panelkit.operators.numbering import block_starts, null_safe_join
 from panelkit.operators.quantiles import _match
 from panelkit.session import keep, settle
 
@@ -38,19 +38,49 @@ def resample(
     """Draw ``n`` rows per stratum without replacement, ``reps`` times over; adds ``sample_id``.
 
     Strata with at most ``n`` rows come back whole in every replicate. The data is never multiplied by
-    the replicates: rows get a consecutive number inside their stratum, the replicates draw numbers,
-    and one equi-join fetches the drawn rows. The work is the data plus ``reps * n`` draws per stratum.
+    the replicates: rows have a consecutive number inside their stratum, and the replicates draw numbers.
+    The blocks' row counts tell in which block and at which place of it each drawn number stands, so rows
+    and drawn places meet in one exchange by block: the rows of a block are put in order, and each takes
+    the replicates of its place. The data is shuffled once, and the rest of the work is ``reps * n`` draws
+    per stratum.
 
     A NULL stratum is a stratum too. ``order`` must identify the rows of a stratum, and ``block`` must not decrease along it (see
     :func:`panelkit.operators.numbering.number_rows`).
     """
+    spark = df.sparkSession
     starts = keep(block_starts(df, block, [strata]))
-    numbered = _numbered(df, block, order, "_pos", [strata], starts)
     sizes = starts.groupBy(strata).agg(F.sum("_n").alias("_size"))
     drawn = draw_positions(sizes, strata, n, reps, seed, method)
-    # the draws are dealt out after they are exploded, so the join sees their true size
-    drawn = drawn.repartition(strata, "_pos")
-    return null_safe_join(numbered.hint("shuffle_merge"), drawn, [strata, "_pos"]).drop("_pos")
+    both = df.withColumn("_block", block).unionByName(_drawn_places(drawn, starts, strata), allowMissingColumns=True)
+    total = starts.agg(F.sum("_n")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_ROWS)
+    both = both.repartition(tasks, strata, "_block")
+    of_block = Window.partitionBy(strata, "_block")
+    in_order = of_block.orderBy(F.asc_nulls_first("_rank"), *order)
+    ranked = both.withColumn("_rank", F.coalesce("_rank", F.row_number().over(in_order) - 1))
+    # a place holds one row, and if it was drawn the replicates stand right before it
+    before = F.lag("_samples").over(of_block.orderBy("_rank", F.isnull("_samples")))
+    taken = ranked.withColumn("_drawn", before).where(F.isnull("_samples") & F.isnotnull("_drawn"))
+    return taken.select(*df.columns, F.explode("_drawn").alias("sample_id"))
+
+
+# Rows that a task puts in order, about, where the data has more than all tasks of a shuffle would take.
+TASK_ROWS = 500_000
+# Numbers of a stratum that are looked up together.
+SPAN = 256
+
+
+def _drawn_places(drawn: DataFrame, starts: DataFrame, strata: str) -> DataFrame:
+    """``strata, _block, _rank, _samples``: the place in its block of each drawn number, and who drew it."""
+    # the draws are dealt out after they are exploded, so the shuffle sees their true size
+    wanted = drawn.repartition(strata, "_pos").groupBy(strata, "_pos")
+    wanted = wanted.agg(F.collect_list("sample_id").alias("_samples"))
+    wanted = wanted.withColumn("_span", F.expr(f"_pos div {SPAN}"))
+    spans = F.sequence(F.expr(f"_start div {SPAN}"), F.expr(f"(_start + _n - 1) div {SPAN}"))
+    blocks = starts.withColumn("_span", F.explode(spans))
+    found = null_safe_join(wanted.hint("shuffle_merge"), blocks, [strata, "_span"])
+    found = found.where((F.col("_pos") >= F.col("_start")) & (F.col("_pos") < F.col("_start") + F.col("_n")))
+    return found.select(strata, "_block", (F.col("_pos") - F.col("_start")).alias("_rank"), "_samples")
 
 
 # Rounds of the keyed permutation; an even number leaves both halves in their places.
@@ -72,7 +102,9 @@ def draw_positions(
     stratum is one row with an array of about ``n`` numbers, so its size is a parameter.
     """
     groups = sizes.withColumn("sample_id", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    groups = groups.repartition(strata, "sample_id").where("_size > 0")
+    # few small rows with much work each: a given number of tasks, as adaptive execution would join them
+    tasks = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = groups.repartition(tasks, strata, "sample_id").where("_size > 0")
     groups = groups.withColumn("_size", F.col("_size").cast("bigint"))
     groups = groups.withColumn("_half", F.least(F.lit(HALF), F.ceil(F.sqrt("_size"))).cast("bigint"))
     groups = groups.withColumn("_other", F.expr("(_size + _half - 1) div _half"))

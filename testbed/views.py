@@ -220,6 +220,8 @@ def study_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 # The study's own size: replicates, rows of each in a stratum, grid points of densities, rows shown.
 STUDY_REPS, STUDY_SAMPLE, STUDY_POINTS, STUDY_SHOWN = 5000, 500, 512, 3000
+# Line items may share an id; rows alike in all of these are alike in every column.
+STUDY_ORDER = ["id", "gpp_impact", "precip_impact", "gpp_recovery_base", "gpp_recovery_impact", "gpp_stability", "scenario"]
 
 _DRAWN: dict[tuple[str, str, int, int], DataFrame] = {}
 
@@ -228,8 +230,8 @@ def study_sample(spark: SparkSession, sf: str) -> DataFrame:
     """Replicates of the study's own size, drawn once in a session and stored in buckets of a sample."""
     key = (spark.sparkContext.applicationId, sf, STUDY_REPS, STUDY_SAMPLE)
     if key not in _DRAWN:
-        rows = keep(study_rows(spark, sf))
-        drawn = resample.resample(rows, "veg_type", STUDY_SAMPLE, STUDY_REPS, F.floor(F.col("id") / 4096), ["id", "gpp_impact", "precip_impact"], SEED)
+        rows = study_rows(spark, sf)
+        drawn = resample.resample(rows, "veg_type", STUDY_SAMPLE, STUDY_REPS, F.floor(F.col("id") / 4096), STUDY_ORDER, SEED)
         _DRAWN[key] = keep_bucketed(drawn, ["sample_id", "veg_type"])
     return _DRAWN[key]
 

@@ -140,3 +140,34 @@ def test_bits_are_uniform_and_not_negative(spark):
         assert 0 <= row[0] < 0.01 and 0.99 < row[1] < 1 and abs(row[2] - 0.5) < 0.01
     with pytest.raises(ValueError):
         random_bits(["id"], "rand")
+
+
+def test_data_is_shuffled_once(spark):
+    df = strata(spark, SIZES).withColumn("wide", F.col("id") * 2)
+    plan = draw(df, 10, 6)._jdf.queryExecution().executedPlan().executedPlan()
+    found = []
+
+    def walk(node):
+        if "Exchange" in node.nodeName() and "wide#" in node.output().mkString(","):
+            found.append(node.nodeName())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(plan)
+    assert len(found) == 1
+
+
+def test_draws_are_dealt_to_several_tasks(spark):
+    sizes = spark.createDataFrame([("s", 1000)], "g string, _size long")
+    assert resample.draw_positions(sizes, "g", 5, 40, 1).rdd.getNumPartitions() > 1
+
+
+def test_drawn_rows_stand_at_the_drawn_numbers(spark):
+    """Blocks longer and shorter than the spans of the look-up."""
+    df = strata(spark, {"a": 3000, "b": 700, "c": 1})
+    sizes = df.groupBy("g").agg(F.count("id").alias("_size"))
+    numbers = resample.draw_positions(sizes, "g", 200, 4, 7)
+    expected = sorted((r["g"], r["sample_id"], r["_pos"]) for r in numbers.collect())
+    for rows in (1, 16, 100_000):
+        got = resample.resample(df, "g", 200, 4, F.floor(F.col("id") / rows), ["id"], 7).collect()
+        assert sorted((r["g"], r["sample_id"], r["id"]) for r in got) == expected

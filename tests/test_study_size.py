@@ -105,3 +105,9 @@ def test_stored_samples_are_not_exchanged(drawn):
     for df in (fits, regress.ratio_median(drawn), regress.sample_residuals(drawn, fits)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_order_of_study_rows_leaves_no_ties_open(spark, medium):
+    rows = views.study_rows(spark, medium)
+    repeated = rows.distinct().groupBy("veg_type", *views.STUDY_ORDER).count().where("count > 1")
+    assert repeated.count() == 0
