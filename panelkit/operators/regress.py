@@ -133,19 +133,20 @@ def sample_residuals(
 
     Equals :func:`augment` over :func:`pair_long`, but the models of a sample travel as one row, so each
     sampled row is joined once for all formulas and turned long afterwards. Models are one row for many
-    sampled ones: they are counted, and if few are sent to where the sample lies.
+    sampled ones: they are counted, and if few are sent to where the sample lies. Each formula has a column
+    of its own there, so no name is looked up for a sampled row.
     """
     model = F.struct("intercept", "slope")
     models = coefs.groupBy(*by).agg(
         F.map_from_entries(F.collect_list(F.struct("formula", model))).alias("_models")
     )
-    models, _ = settle(models)
+    fits = [F.try_element_at("_models", F.lit(formula(*p))).alias(f"_fit{i}") for i, p in enumerate(pairs)]
+    models, _ = settle(models.select(*by, *fits))
     names = {c: nan_to_null(F.col(c)).alias(c) for p in pairs for c in p}
     joined = null_safe_join(sample.select(*ids, *by, *names.values()), models, list(by))
     items = []
-    for dep, ind in pairs:
-        name = F.lit(formula(dep, ind))
-        fit = F.try_element_at("_models", name)
+    for i, (dep, ind) in enumerate(pairs):
+        name, fit = F.lit(formula(dep, ind)), F.col(f"_fit{i}")
         complete = F.col(dep).isNotNull() & F.col(ind).isNotNull() & fit.isNotNull()
         fitted = fit["intercept"] + fit["slope"] * F.col(ind)
         row = F.struct(
