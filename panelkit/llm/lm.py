@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,28 +73,31 @@ class _Grams:
         for k in (1, 2)[: order - 1]:
             near[k, :-1] = near[k - 1, 1:]
             near[k, last] = 0
-        self.starts = np.flatnonzero(near[1])
+        # a block is worked on in one piece, so what is as long as its tokens is narrow and changed in place
+        self.starts = np.flatnonzero(near[1]).astype(np.int32)
         known = np.zeros(1 << 16, np.uint64)
         present = np.flatnonzero(np.bincount(tokens, minlength=1))
         known[present] = np.arange(1, len(present) + 1, dtype=np.uint64)
         bits, room = np.uint64(len(present).bit_length()), np.uint64(len(self.starts).bit_length())
         key = np.zeros(len(self.starts), np.uint64)
         for row in near:
-            key = key << bits | known[row[self.starts]]
+            key <<= bits
+            key |= known[row[self.starts]]
         # numbers of distinct tokens are small, so a triple and its place mostly fit into one sortable word
         if 3 * int(bits) + int(room) <= 64:
-            key = key << room | np.arange(len(key), dtype=np.uint64)
+            key <<= room
+            key |= np.arange(len(key), dtype=np.uint64)
             key.sort()
-            place = (key & np.uint64((1 << int(room)) - 1)).astype(np.int64)
+            place = (key & np.uint64((1 << int(room)) - 1)).astype(np.int32)
             key >>= room
         else:
             place = np.argsort(key, kind="stable")
             key = key[place]
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
-        pair = key >> bits
+        key >>= bits
         other = np.ones(len(key), bool)
-        other[1:] = pair[1:] != pair[:-1]
+        other[1:] = key[1:] != key[:-1]
         self.pair_at, self.triple_at = (np.empty(len(key), np.int32) for _ in range(2))
         self.pair_at[place] = np.cumsum(other, dtype=np.int32) - 1
         self.triple_at[place] = np.cumsum(new, dtype=np.int32) - 1
@@ -224,22 +227,50 @@ def _token_counts(blocks: DataFrame) -> np.ndarray:
     return out
 
 
-def backoff_scores(place: np.ndarray, counts: np.ndarray, alpha: float, min_count: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+def backoff_scores(
+    place: np.ndarray, counts: Iterable[np.ndarray], alpha: float, min_count: int, total: int
+) -> tuple[np.ndarray, np.ndarray]:
     """Log score of each token, and whether it backed off.
 
-    ``counts`` has a row per length with the count of the n-gram that ends at each token, 0 where the
-    document is too short. A token is scored by the longest of them whose count reaches ``min_count``:
-    its count divided by that of its context, times ``alpha`` for each shorter step taken. The last
-    resort is the token's share of the corpus.
+    ``counts`` gives for each length, one after the other, the count of the n-gram that ends at each token,
+    0 where the document is too short. A token is scored by the longest of them whose count reaches
+    ``min_count``: its count divided by that of its context, times ``alpha`` for each shorter step taken.
+    The last resort is the token's share of the corpus.
     """
-    score = np.log(np.maximum(counts[0], 1) / max(total, 1))
-    reach = np.minimum(place, len(counts) - 1)  # tokens of context at hand
-    used = np.zeros(len(place), np.int64)
-    for k in range(1, len(counts)):
-        at = np.flatnonzero(counts[k] >= max(min_count, 1))
-        score[at] = np.log(counts[k, at] / np.maximum(counts[k - 1, at - 1], 1))
-        used[at] = k
-    return score + (reach - used) * math.log(alpha), used < reach
+    longest, used, score, shorter = 0, np.zeros(len(place), np.int8), np.zeros(0), np.zeros(0, np.int64)
+    for longest, now in enumerate(counts):
+        if longest:
+            at = np.flatnonzero(now >= max(min_count, 1))
+            score[at] = np.log(now[at] / np.maximum(shorter[at - 1], 1))
+            used[at] = longest
+            del at
+        else:
+            score = np.maximum(now, 1) / max(total, 1)
+            np.log(score, out=score)
+        shorter = now
+    reach = np.minimum(place, longest).astype(np.int8)  # tokens of context at hand
+    score += (reach - used) * np.float64(math.log(alpha))
+    return score, used < reach
+
+
+def _own_counts(
+    tokens: np.ndarray, place: np.ndarray, grams: _Grams, known: pa.Table, single: np.ndarray, parts: int, order: int
+) -> Iterator[np.ndarray]:
+    """For each length, how often the n-gram that ends at each token of a block stands in the corpus."""
+    yield single[tokens]
+    pairs, triples, _ = grams.dealt(parts)
+    known = known.sort_by("_part")
+    named = ("_pair_counts", pairs, grams.pair_at), ("_triple_counts", triples, grams.triple_at)
+    for k, (name, moved, at) in enumerate(named[: order - 1], 1):
+        in_order = np.zeros(len(moved), np.int64)
+        in_order[moved] = np.concatenate([np.zeros(0, np.int64), *[unpack(c.as_py(), "<i8") for c in known.column(name)]])
+        # the n-gram that starts at a token ends k tokens later
+        long = grams.starts + k < len(tokens)
+        counts = np.zeros(len(tokens), np.int64)
+        counts[grams.starts[long] + k] = in_order[at[long]]
+        del in_order, long
+        counts[place < k] = 0
+        yield counts
 
 
 def _scored(blocks: DataFrame, answers: DataFrame, single: np.ndarray, kind: str, parts: int, order: int, alpha: float, min_count: int) -> DataFrame:
@@ -247,20 +278,11 @@ def _scored(blocks: DataFrame, answers: DataFrame, single: np.ndarray, kind: str
     total = int(single.sum())
 
     def run(block: pa.Table, known: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         sizes, tokens, grams = _block_grams(block.column("_sizes")[0].as_py(), block.column("_tokens")[0].as_py(), order)
-        counts = np.zeros((order, len(tokens)), np.int64)
-        counts[0] = single[tokens]
-        pairs, triples, _ = grams.dealt(parts)
-        known = known.sort_by("_part")
-        named = ("_pair_counts", pairs, grams.pair_at), ("_triple_counts", triples, grams.triple_at)
-        for k, (name, place, at) in enumerate(named[: order - 1], 1):
-            in_order = np.zeros(len(place), np.int64)
-            in_order[place] = np.concatenate([np.zeros(0, np.int64), *[unpack(c, "<i8") for c in known.column(name).to_pylist()]])
-            # the n-gram that starts at a token ends k tokens later
-            long = grams.starts + k < len(tokens)
-            counts[k, grams.starts[long] + k] = in_order[at[long]]
-        place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        counts[np.arange(order)[:, None] > place] = 0
+        place = np.arange(len(tokens), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
+        counts = _own_counts(tokens, place, grams, known, single, parts, order)
+        del grams, known
         logs, back = backoff_scores(place, counts, alpha, min_count, total)
         doc, n = np.repeat(np.arange(len(sizes)), sizes), len(sizes)
         ids = block.column("_ids").combine_chunks().values
